@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clearwake.functions.staging import pin
 from clearwake.functions.text import col_of
 
 # A VARIANT holds at most 16 MiB. Longer packets are read a second time with a fixed schema,
@@ -55,14 +56,17 @@ def parse_raw_packet(df: DataFrame, value: str = "value") -> DataFrame:
     """
     fields = ("raw_html", "traceparent", "source_url", "collected_at")
     parsed = _with_document(df, value, fields)
-    return (
-        parsed.withColumn("html", F.coalesce(_text_field("raw_html"), F.col(value)))
-        .withColumn("traceparent", _text_field("traceparent"))
-        .withColumn("source_url", _text_field("source_url"))
-        .withColumn("collected_at", _text_field("collected_at"))
-        .withColumn("parse_fallback", ~F.col("_json"))
-        .drop("_doc", "_big", "_json")
+    read = parsed.withColumns(
+        {
+            "html": F.coalesce(_text_field("raw_html"), F.col(value)),
+            "traceparent": _text_field("traceparent"),
+            "source_url": _text_field("source_url"),
+            "collected_at": _text_field("collected_at"),
+            "parse_fallback": ~F.col("_json"),
+        }
     )
+    added = ("html", "traceparent", "source_url", "collected_at", "parse_fallback")
+    return pin(read.drop("_doc", "_big", "_json"), *added)
 
 
 def _empty_json_value(doc: Column) -> Column:
@@ -91,14 +95,17 @@ def parse_packet_with_meta(df: DataFrame, value: str = "value") -> DataFrame:
     reason = F.when(F.col("_json") & ~is_object, "non_object_json").when(
         F.col("_json") & bad_text, "non_string_text"
     )
-    return (
-        parsed.withColumn("quarantine", reason)
-        .withColumn("text", F.when(F.col("quarantine").isNull(), F.coalesce(text, raw)))
-        .withColumn("traceparent", _text_field("traceparent"))
-        .withColumn("source_url", _text_field("source_url"))
-        .withColumn("fallback", ~F.col("_json"))
-        .drop("_doc", "_big", "_json")
+    judged = parsed.withColumn("quarantine", reason)
+    read = judged.withColumns(
+        {
+            "text": F.when(F.col("quarantine").isNull(), F.coalesce(text, raw)),
+            "traceparent": _text_field("traceparent"),
+            "source_url": _text_field("source_url"),
+            "fallback": ~F.col("_json"),
+        }
     )
+    added = ("text", "traceparent", "source_url", "fallback", "quarantine")
+    return pin(read.drop("_doc", "_big", "_json"), *added)
 
 
 def parse_packet(value: Column | str) -> Column:

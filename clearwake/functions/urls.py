@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clearwake.functions.staging import pin
 from clearwake.functions.text import HIDDEN_MARKUP, col_of
 
 # Schemes and substrings that make a link uninteresting.
@@ -53,42 +54,52 @@ def host_of(url: Column | str) -> Column:
 
 
 def _without_dot_segments(path: Column) -> Column:
-    parts = F.split(path, "/")
     kept = F.aggregate(
-        parts,
+        F.split(path, "/"),
         F.array().cast("array<string>"),
         lambda acc, part: F.when(part == ".", acc)
-        .when(part == "..", F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc))
+        .when(part == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))))
         .otherwise(F.array_append(acc, part)),
     )
     # a path ending in a dot segment names a folder
     closing = F.when(path.rlike(r"(^|/)\.\.?$"), "/").otherwise("")
-    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.array_join(kept, "/"), closing)).otherwise(path)
-
-
-def _normalised(url: Column) -> Column:
-    origin = F.regexp_extract(url, _ORIGIN, 1)
-    path = F.regexp_extract(url, _PATH, 1)
-    rest = F.substr(url, F.length(origin) + F.length(path) + 1)
-    return F.when(origin == "", url).otherwise(F.concat(origin, _without_dot_segments(path), rest))
-
-
-def absolutize(base: Column | str, href: Column | str) -> Column:
-    """Resolve ``href`` against ``base`` and drop the fragment; null unless the result is http(s)."""
-    origin_url, link = col_of(base), col_of(href)
-    target = F.regexp_replace(link, "#.*$", "")
-    origin = F.regexp_extract(origin_url, _ORIGIN, 1)
-    path = F.regexp_extract(origin_url, _PATH, 1)
+    return F.concat(F.array_join(kept, "/"), closing)
+
+
+def with_absolute(df: DataFrame, base: str, href: str, name: str) -> DataFrame:
+    """Adds ``name``: the column ``href`` resolved against the column ``base``, without fragment.
+
+    Null unless the result is http(s). The steps are separate columns, so that no part of a URL
+    is taken apart more than once.
+    """
+    target, origin, path, resolved = (F.col(c) for c in ("_target", "_origin", "_path", "_resolved"))
+    own_origin, own_path = F.col("_own_origin"), F.col("_own_path")
+    split = df.withColumns(
+        {
+            "_target": F.regexp_replace(href, "#.*$", ""),
+            "_origin": F.regexp_extract(base, _ORIGIN, 1),
+            "_path": F.regexp_extract(base, _PATH, 1),
+        }
+    )
     folder = F.regexp_replace(path, "[^/]*$", "")
-    resolved = (
-        F.when(link.startswith("#"), F.lit(None))
+    joined = split.withColumn(
+        "_resolved",
+        F.when(F.col(href).startswith("#"), F.lit(None))
         .when(target.rlike(_SCHEME), target)
-        .when(target.startswith("//"), F.concat(F.regexp_extract(origin_url, r"^([^:/?#]*:)", 1), target))
+        .when(target.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:/?#]*:)", 1), target))
         .when(origin == "", F.lit(None))
-        .when(target == "", F.regexp_replace(origin_url, "#.*$", ""))
+        .when(target == "", F.regexp_replace(base, "#.*$", ""))
         .when(target.startswith("/"), F.concat(origin, target))
         .when(target.startswith("?"), F.concat(origin, path, target))
-        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), target))
+        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), target)),
+    )
+    parts = joined.withColumns(
+        {"_own_origin": F.regexp_extract(resolved, _ORIGIN, 1), "_own_path": F.regexp_extract(resolved, _PATH, 1)}
+    )
+    rest = F.substr(resolved, F.length(own_origin) + F.length(own_path) + 1)
+    dotted = (own_origin != "") & own_path.rlike(r"(^|/)\.\.?(/|$)")
+    clean = F.when(dotted, F.concat(own_origin, _without_dot_segments(own_path), rest)).otherwise(resolved)
+    done = parts.withColumn(name, F.when(resolved.startswith("http"), clean)).drop(
+        "_target", "_origin", "_path", "_resolved", "_own_origin", "_own_path"
     )
-    absolute = _normalised(resolved)
-    return F.when(absolute.startswith("http"), absolute)
+    return pin(done, name)

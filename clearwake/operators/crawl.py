@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clearwake.functions.packets import to_raw_json
 from clearwake.functions.trace import make_traceparent
-from clearwake.functions.urls import absolutize, base_href, host_of, hrefs, is_interesting_link
+from clearwake.functions.urls import base_href, host_of, hrefs, is_interesting_link, with_absolute
 from clearwake.session import broadcast_if_small, cut_lineage
 
 MAX_PAGES = 300
@@ -21,20 +21,18 @@ BROADCAST_URLS = 100_000
 
 def extract_links(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """One row per anchor with an ``href``, in document order (``position`` from 0)."""
-    return pages.select(
+    based = with_absolute(pages.withColumn("_base_href", base_href("html")), "url", "_base_href", "_base")
+    return based.select(
         *keep,
-        F.coalesce(absolutize("url", base_href("html")), F.col("url")).alias("base_url"),
+        F.coalesce("_base", "url").alias("base_url"),
         F.posexplode(hrefs("html")).alias("position", "href"),
     )
 
 
 def resolve_links(links: DataFrame) -> DataFrame:
     """Interesting links that resolve to an http(s) URL, as ``link``."""
-    return (
-        links.where(is_interesting_link("href"))
-        .withColumn("link", absolutize("base_url", "href"))
-        .where(F.col("link").isNotNull())
-    )
+    interesting = links.where(is_interesting_link("href"))
+    return with_absolute(interesting, "base_url", "href", "link").where("link IS NOT NULL")
 
 
 def parse_domains(setting: str) -> list[str]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from clearwake.functions.packets import parse_packet_with_meta
 from clearwake.functions.risk import label_to_score, risk_label, risk_score
+from clearwake.functions.staging import pin
 from clearwake.functions.text import CONTENT_CHARS, RISK_KEYWORDS, truncate
 from clearwake.operators.entities import Extractor, blank_extractor
 
@@ -41,9 +42,8 @@ class Enriched(NamedTuple):
 
 def score_rules(df: DataFrame, text: str = "text", keywords: Sequence[str] = RISK_KEYWORDS) -> DataFrame:
     """Adds ``risk_score`` and ``risk_label`` from keyword and entity counts."""
-    return df.withColumn("risk_score", risk_score(text, "entities", keywords)).withColumn(
-        "risk_label", risk_label("risk_score")
-    )
+    scored = pin(df.withColumn("risk_score", risk_score(text, "entities", keywords)), "risk_score")
+    return scored.withColumn("risk_label", risk_label("risk_score"))
 
 
 def score(df: DataFrame, strategy: str = "rules", model=None, text: str = "text") -> DataFrame:

@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clearwake.functions.staging import pin
 from clearwake.functions.text import EXTRACTOR_CHARS, truncate
 from clearwake.schemas import ENTITIES
+from clearwake.session import broadcast_if_small
 
 # The entity types that are kept.
 ENTITY_TYPES = ("PERSON", "ORG", "GPE")
@@ -22,6 +24,8 @@ Extractor = Callable[[DataFrame, str], DataFrame]
 
 # Above this many phrases a pattern stops paying and the phrases are joined as a table.
 MAX_PATTERN_PHRASES = 500
+# A dictionary of up to this many phrases is broadcast.
+BROADCAST_PHRASES = 100_000
 
 
 def blank_extractor(df: DataFrame, text: str = "text") -> DataFrame:
@@ -53,7 +57,7 @@ def gazetteer_extractor(
         typed = F.transform(
             found, lambda p: F.struct(p.alias("text"), F.create_map(*kinds)[p].alias("type"))
         )
-        return df.withColumn("entities", F.coalesce(typed, F.array()).cast(ENTITIES))
+        return pin(df.withColumn("entities", F.coalesce(typed, F.array()).cast(ENTITIES)), "entities")
 
     return extract
 
@@ -79,6 +83,7 @@ def gazetteer_join(
         .groupBy("phrase")
         .agg(F.min("type").alias("type"))
     )
+    known = broadcast_if_small(known, BROADCAST_PHRASES)
     # words and the gaps between them alternate, so neighbours can be checked in place
     words = df.select(
         F.col(key),
@@ -106,7 +111,8 @@ def gazetteer_join(
         .where("_g IS NOT NULL")
         .select(key, F.col("_g.pos").alias("_pos"), F.col("_g.n").alias("_n"), F.col("_g.phrase").alias("phrase"))
     )
-    hits = grams.join(known, "phrase").groupBy(key).agg(
+    # a merge hint gives way to a broadcast one, and keeps Spark from broadcasting the n-grams
+    hits = grams.hint("merge").join(known, "phrase").groupBy(key).agg(
         F.array_sort(
             F.collect_list(
                 F.struct(
@@ -128,7 +134,11 @@ def gazetteer_join(
             F.when(free, F.array_append(acc["kept"], entity)).otherwise(acc["kept"]).alias("kept"),
         )
 
-    found = hits.select(key, F.aggregate("_hits", start, keep, lambda acc: acc["kept"]).alias("entities"))
+    if max_words == 1:  # single words cannot overlap
+        entities = F.transform("_hits", lambda h: F.struct(h["text"].alias("text"), h["type"].alias("type")))
+    else:
+        entities = F.aggregate("_hits", start, keep, lambda acc: acc["kept"])
+    found = hits.select(key, entities.alias("entities"))
     joined = df.join(found, key, "left")
     return joined.withColumn("entities", F.coalesce("entities", F.array().cast(ENTITIES)))
 

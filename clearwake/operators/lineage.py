@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clearwake.functions.staging import pin
 from clearwake.functions.trace import valid_trace_id
 from clearwake.operators.order_stats import quantile
 
@@ -14,11 +15,12 @@ STAGES = ("raw", "sanitized", "index", "dlq")
 
 
 def _tagged(df: DataFrame, stage: str, **extra: Column) -> DataFrame:
-    return df.select(
+    tagged = df.select(
         valid_trace_id("traceparent").alias("trace_id"),
         F.lit(stage).alias("stage"),
         *(c.alias(n) for n, c in extra.items()),
-    ).where("trace_id IS NOT NULL")
+    )
+    return pin(tagged, "trace_id").where("trace_id IS NOT NULL")
 
 
 def trace_lineage(raw: DataFrame, sanitized: DataFrame, index: DataFrame, dlq: DataFrame) -> DataFrame:

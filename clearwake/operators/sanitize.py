@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clearwake.functions.packets import parse_raw_packet
+from clearwake.functions.staging import pin
 from clearwake.functions.text import is_blank, strip_html, trim_white
 
 MIN_TEXT_BYTES = 50
@@ -41,12 +42,14 @@ def classify_raw(df: DataFrame, min_bytes: int = MIN_TEXT_BYTES, value: str = "v
         .when(F.octet_length("text") < min_bytes, "dropped")
         .otherwise("ok")
     )
-    return (
-        cleaned.withColumn("outcome", outcome)
-        .withColumn("error", F.when(F.col("_blank"), EMPTY_HTML))
-        .withColumn("length", F.octet_length("html").cast("long"))
-        .drop("_blank")
+    judged = cleaned.withColumns(
+        {
+            "outcome": outcome,
+            "error": F.when(F.col("_blank"), EMPTY_HTML),
+            "length": F.octet_length("html").cast("long"),
+        }
     )
+    return pin(judged.drop("_blank"), "text", "outcome", "error", "length")
 
 
 def sanitize(

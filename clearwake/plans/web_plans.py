@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearwake.functions.packets import parse_raw_packet
-from clearwake.functions.urls import absolutize, host_of, is_interesting_link
+from clearwake.functions.urls import host_of, is_interesting_link
 from clearwake.operators.crawl import (
     allow_domains,
     crawl_snapshot,

@@ -23,6 +23,9 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+TIMES: dict[str, float] = {}
+
+
 def _plain(value):
     if isinstance(value, decimal.Decimal):
         value = float(value)
@@ -42,10 +45,13 @@ def _rows(columns, rows):
 
 def compare(spark, con, sf_dir: str, query, sql: str) -> str | None:
     """None if both give the same rows, else what differs."""
+    start = time.time()
     df = query(spark, sf_dir)
     got_columns, got = _rows(df.columns, [tuple(r) for r in df.collect()])
+    TIMES["spark"] = time.time() - start
     cursor = con.execute(sql)
     want_columns, want = _rows([d[0] for d in cursor.description], cursor.fetchall())
+    TIMES["sql"] = time.time() - start - TIMES["spark"]
     if got_columns != want_columns:
         return f"columns {got_columns} != {want_columns}"
     if len(got) != len(want):
@@ -64,7 +70,7 @@ if __name__ == "__main__":
     scale = sys.argv[1] if len(sys.argv) > 1 else "0.001"
     folder = f"/root/testdata/sf{scale}"
     session = build_session(
-        "oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"}
+        "oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
     )
     session.sparkContext.setLogLevel("ERROR")
     queries, oracles = entry.queries(), entry.oracle_sql()
@@ -81,5 +87,5 @@ if __name__ == "__main__":
             problem = f"{type(exc).__name__}: {str(exc)[:1500]}"
         failed += problem is not None
         kind = "sql" if name in oracles else "rows"
-        print(f"{'ok  ' if problem is None else 'FAIL'} {kind} {name} {time.time() - start:.1f}s {problem or ''}", flush=True)
+        print(f"{'ok  ' if problem is None else 'FAIL'} {kind} {name} {time.time() - start:.1f}s {dict((k, round(v, 1)) for k, v in TIMES.items())} {problem or ''}", flush=True)
     print(f"{failed} failed")
