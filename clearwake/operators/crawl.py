@@ -94,7 +94,7 @@ def crawl_snapshot(
     links = resolve_links(extract_links(pages, keep=("url",)))
     edges = cut_lineage(allow_domains(links, domains).select("url", "link").distinct())
     known = cut_lineage(pages.select("url").distinct())
-    seed = pages.sparkSession.createDataFrame([(start_url,)], "url string")
+    seed = pages.sparkSession.range(1).select(F.lit(start_url).alias("url"))
     frontier = broadcast_if_small(allow_domains(seed, domains, "url"), BROADCAST_URLS)
     seen, reached = frontier, None
     visited, depth = 0, 0

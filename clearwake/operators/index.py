@@ -45,7 +45,8 @@ def _log(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
 
 def _append(spark: SparkSession, root: str, name: str, schema: str, *values: str) -> None:
     last = _log(spark, root, name, schema).agg(F.coalesce(F.max("seq"), F.lit(0)).alias("seq")).first()
-    row = spark.createDataFrame([(last["seq"] + 1, *values)], schema)
+    names = [part.split()[0] for part in schema.split(", ")]
+    row = spark.range(1).select(*(F.lit(v).alias(n) for n, v in zip(names, (last["seq"] + 1, *values))))
     row.coalesce(1).write.mode("append").json(f"{root}/{name}")
 
 

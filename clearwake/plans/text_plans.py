@@ -189,7 +189,8 @@ def entity_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("entity_gazetteer_table", _ENTITY_SQL)
 def entity_gazetteer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the dictionary as a table."""
-    words = spark.createDataFrame(list(GAZETTEER), "phrase string, type string")
+    rows = F.array(*(F.struct(F.lit(w).alias("phrase"), F.lit(t).alias("type")) for w, t in GAZETTEER))
+    words = spark.range(1).select(F.inline(rows))
     found = gazetteer_join(seeded_docs(spark, sf_dir), words, "doc_id", max_words=1)
     return found.select("doc_id", F.size("entities").alias("entity_count"), entity_text().alias("entities"))
 
