@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clearwake.functions.packets import to_raw_json
 from clearwake.functions.trace import make_traceparent
 from clearwake.functions.urls import base_href, host_of, hrefs, is_interesting_link, with_absolute
-from clearwake.session import broadcast_if_small, cut_lineage
+from clearwake.session import cut_lineage
 
 MAX_PAGES = 300
 # Domain lists longer than this are joined as a table.
@@ -91,24 +91,25 @@ def crawl_snapshot(
     narrow tables and is stored, so the plan does not grow with the depth.
     """
     budget = page_limit(max_pages)
-    links = resolve_links(extract_links(pages, keep=("url",)))
-    edges = cut_lineage(allow_domains(links, domains).select("url", "link").distinct())
-    known = cut_lineage(pages.select("url").distinct())
+    known = pages.select("url").distinct()
+    links = allow_domains(resolve_links(extract_links(pages, keep=("url",))), domains)
+    targets = known.withColumnRenamed("url", "link")
+    edges = cut_lineage(links.select("url", "link").distinct().join(targets, "link", "left_semi"))
     seed = pages.sparkSession.range(1).select(F.lit(start_url).alias("url"))
-    frontier = broadcast_if_small(allow_domains(seed, domains, "url"), BROADCAST_URLS)
-    seen, reached = frontier, None
+    fresh = allow_domains(seed, domains, "url").join(known, "url", "left_semi")
+    reached: DataFrame | None = None
     visited, depth = 0, 0
     while True:
-        fetched = known.join(frontier, "url", "left_semi").withColumn("depth", F.lit(depth))
-        layer = broadcast_if_small(page_budget(fetched, budget - visited), BROADCAST_URLS)
+        layer = cut_lineage(fresh.withColumn("depth", F.lit(depth)))
         size = layer.count()
+        if size > budget - visited:
+            layer, size = cut_lineage(page_budget(layer, budget - visited)), budget - visited
         reached = layer if reached is None else reached.unionByName(layer)
         visited, depth = visited + size, depth + 1
         if not size or visited >= budget or (max_depth is not None and depth > max_depth):
             break
-        fresh = dedupe_frontier(edges.join(layer, "url", "left_semi"), seen)
-        frontier = broadcast_if_small(fresh, BROADCAST_URLS)
-        seen = seen.unionByName(frontier)
+        frontier = F.broadcast(layer) if size <= BROADCAST_URLS else layer
+        fresh = dedupe_frontier(edges.join(frontier, "url", "left_semi"), reached)
     return pages.join(reached, "url").groupBy("url", "depth").agg(F.min("html").alias("html"))
 
 

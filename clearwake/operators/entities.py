@@ -105,12 +105,14 @@ def gazetteer_join(
 
         return F.transform(places, at)
 
-    every = F.concat(*(phrases_of(n) for n in range(1, max_words + 1)))
-    grams = (
-        words.select(key, F.explode(every).alias("_g"))
-        .where("_g IS NOT NULL")
-        .select(key, F.col("_g.pos").alias("_pos"), F.col("_g.n").alias("_n"), F.col("_g.phrase").alias("phrase"))
-    )
+    if max_words == 1:
+        grams = words.select(key, F.lit(1).alias("_n"), F.posexplode("_w").alias("_pos", "phrase"))
+    else:
+        every = F.concat(*(phrases_of(n) for n in range(1, max_words + 1)))
+        spread_out = words.select(key, F.explode(every).alias("_g")).where("_g IS NOT NULL")
+        grams = spread_out.select(
+            key, F.col("_g.pos").alias("_pos"), F.col("_g.n").alias("_n"), F.col("_g.phrase").alias("phrase")
+        )
     # a merge hint gives way to a broadcast one, and keeps Spark from broadcasting the n-grams
     hits = grams.hint("merge").join(known, "phrase").groupBy(key).agg(
         F.array_sort(

@@ -152,7 +152,7 @@ def merge_versions(
         stamped = df.withColumn("schema_version", F.lit(version)).withColumn("_order", F.lit(i))
         ordered = ordered.unionByName(stamped)
     winners = ordered.groupBy(key).agg(F.max("_order").alias("_order"))
-    return ordered.join(winners, [key, "_order"], "left_semi").drop("_order")
+    return ordered.join(winners, [key, "_order"]).select(*current.columns)
 
 
 def migrate_single(

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 from clearwake.functions.risk import FEATURES, featurize
 from clearwake.functions.text import enriched_text, word_tokens
 from clearwake.operators.quality import stratified_folds
+from clearwake.session import cut_lineage
 
 # Model settings.
 FOREST_TREES = 100
@@ -220,7 +219,7 @@ def train_text(
     numbered = vocabulary(counts, total, size).select(
         (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("i"), "term", "idf"
     )
-    vocab = numbered.persist()
+    vocab = cut_lineage(numbered)
     width = max(vocab.count(), 1)
     weighted = _weighted(cases.select(key, label), label)
     indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(weighted)
@@ -239,13 +238,11 @@ def train_text(
 
 def load_text_model(spark: SparkSession, path: str) -> TextModel | None:
     """A stored text model, or None if there is none that can be read."""
-    from pyspark.ml.classification import LogisticRegressionModel
-
     try:
         vocab = spark.read.schema("i int, term string, idf double").parquet(f"{path}/vocabulary")
         labels = spark.read.schema("i int, label string").json(f"{path}/labels").orderBy("i").collect()
         classifier = LogisticRegressionModel.load(f"{path}/classifier")
-    except (AnalysisException, Exception) as exc:  # noqa: B014
+    except Exception as exc:  # the JVM reports a missing or broken model in several ways
         print(f"model load failed ({type(exc).__name__})")
         return None
     return TextModel(vocab, classifier.numFeatures, classifier, [r["label"] for r in labels])

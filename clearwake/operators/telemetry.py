@@ -132,6 +132,9 @@ def exposition(counters: DataFrame) -> DataFrame:
 # -- rates --------------------------------------------------------------------------------------
 
 
+MAX_SLICE_S = 60
+
+
 def window_start(ts: Column | str, seconds: int) -> Column:
     return F.window(col_of(ts), f"{seconds} seconds")["start"]
 
@@ -139,30 +142,32 @@ def window_start(ts: Column | str, seconds: int) -> Column:
 def counter_increase(samples: DataFrame, seconds: int = 60) -> DataFrame:
     """Increase of each counter per window, and its per-second ``rate``; a drop is a restart from 0.
 
-    Samples are compared within their window; between windows only each window's first and last
-    value matter. So a series of any length is never sorted in one task.
+    Samples are compared within slices of at most a minute; between slices only the first and
+    last value matter. So a series of any density is never sorted in one task: what is ordered
+    per series is one row per slice. An increase counts for the window of its later sample.
     """
     series = ["job", "metric"]
-    within = Window.partitionBy(*series, "window_start").orderBy("ts", "value")
-    windowed = samples.select(*series, "ts", "value", window_start("ts", seconds).alias("window_start"))
+    slice_s = max(s for s in range(1, MAX_SLICE_S + 1) if seconds % s == 0)
+    within = Window.partitionBy(*series, "_slice").orderBy("ts", "value")
+    sliced = samples.select(*series, "ts", "value", window_start("ts", slice_s).alias("_slice"))
 
     def step(previous: Column, current: Column) -> Column:
         return F.when(previous.isNull(), 0.0).when(current < previous, current).otherwise(current - previous)
 
-    stepped = windowed.withColumn("_step", step(F.lag("value").over(within), F.col("value")))
+    stepped = sliced.withColumn("_step", step(F.lag("value").over(within), F.col("value")))
     order = F.struct("ts", "value")
-    per_window = stepped.groupBy(*series, "window_start").agg(
+    per_slice = stepped.groupBy(*series, "_slice").agg(
         F.sum("_step").alias("_inner"),
         F.min_by("value", order).alias("_first"),
         F.max_by("value", order).alias("_last"),
-        F.count(F.lit(1)).alias("samples"),
+        F.count(F.lit(1)).alias("_n"),
     )
-    across = Window.partitionBy(*series).orderBy("window_start")
+    across = Window.partitionBy(*series).orderBy("_slice")
+    carried = per_slice.withColumn("_carry", step(F.lag("_last").over(across), F.col("_first")))
     return (
-        per_window.withColumn("_carry", step(F.lag("_last").over(across), F.col("_first")))
-        .withColumn("increase", F.col("_inner") + F.col("_carry"))
+        carried.groupBy(*series, window_start("_slice", seconds).alias("window_start"))
+        .agg(F.sum("_n").alias("samples"), F.sum(F.col("_inner") + F.col("_carry")).alias("increase"))
         .withColumn("rate", F.col("increase") / F.lit(float(seconds)))
-        .select(*series, "window_start", "samples", "increase", "rate")
     )
 
 

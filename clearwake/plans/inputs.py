@@ -6,7 +6,7 @@ their rows: every input grows with its table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clearwake.functions.packets import to_raw_json
@@ -14,7 +14,7 @@ from clearwake.functions.text import RISK_KEYWORDS, WHITE_SPACE
 from clearwake.functions.trace import make_traceparent
 from clearwake.operators.enrich import enrich_text
 from clearwake.operators.entities import gazetteer_extractor
-from clearwake.plans.registry import table
+from clearwake.plans.registry import table, wide_table
 
 # Frequent words of the documents, with an entity type each.
 GAZETTEER = (
@@ -50,7 +50,7 @@ def _quoted(values) -> str:
 
 def seeded_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with 0 to 8 risk keywords appended, and a link and a mention in every fourth."""
-    docs = table(spark, sf_dir, "documents")
+    docs = wide_table(spark, sf_dir, "documents", "doc_id")
     words = F.array(*(F.lit(k) for k in RISK_KEYWORDS))
     some = F.array_join(F.slice(words, F.lit(1), (F.col("doc_id") % 9).cast("int")), " ")
     tail = F.when(F.col("doc_id") % 4 == 0, " http://x a@b").otherwise("")
@@ -129,7 +129,7 @@ indexed AS (
 
 def raw_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as raw packets (``page_id, value``); half of them broken in different ways."""
-    pages = table(spark, sf_dir, "pages")
+    pages = wide_table(spark, sf_dir, "pages", "page_id")
     kind = F.col("page_id") % 10
     well_formed = pages.select(
         "page_id",
@@ -257,28 +257,27 @@ parsed_packets AS (
 
 
 def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as counter samples: per deployment and metric a running count that restarts daily."""
-    from pyspark.sql import Window
-
+    """Events as counters read every minute: a running count per deployment that restarts daily."""
     events = table(spark, sf_dir, "events")
-    named = events.select(
+    counted = events.groupBy(
         F.concat(F.lit("deploy-"), (F.col("user_id") % 2).cast("string")).alias("job"),
         F.when(F.col("event_type") == "error", "brain_index_failures_total").otherwise("brain_processed_total").alias("metric"),
-        "ts",
-        "event_id",
-        F.date_trunc("day", "ts").alias("_day"),
-    )
-    daily = Window.partitionBy("job", "metric", "_day").orderBy("ts", "event_id")
-    return named.select("job", "metric", "ts", F.row_number().over(daily).cast("double").alias("value"))
+        F.date_trunc("minute", "ts").alias("ts"),
+    ).agg(F.count(F.lit(1)).alias("n"))
+    # at most one row per minute of the day
+    daily = Window.partitionBy("job", "metric", F.date_trunc("day", "ts")).orderBy("ts")
+    return counted.select("job", "metric", "ts", F.sum("n").over(daily).cast("double").alias("value"))
 
 
 SAMPLES = """
-samples AS (
+minutes AS (
   SELECT 'deploy-' || CAST(user_id % 2 AS VARCHAR) AS job,
          CASE WHEN event_type = 'error' THEN 'brain_index_failures_total' ELSE 'brain_processed_total' END AS metric,
-         ts, CAST(row_number() OVER (PARTITION BY user_id % 2, event_type = 'error', date_trunc('day', ts)
-                                     ORDER BY ts, event_id) AS DOUBLE) AS value
-  FROM events),
+         date_trunc('minute', ts) AS ts, count(*) AS n
+  FROM events GROUP BY ALL),
+samples AS (
+  SELECT job, metric, ts, CAST(sum(n) OVER (PARTITION BY job, metric, date_trunc('day', ts) ORDER BY ts) AS DOUBLE) AS value
+  FROM minutes),
 stepped AS (
   SELECT *, time_bucket(INTERVAL '1 hour', ts) AS window_start,
          lag(value) OVER (PARTITION BY job, metric ORDER BY ts, value) AS previous FROM samples),

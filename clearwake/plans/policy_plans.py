@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearwake.operators.policy import policy_scan
-from clearwake.plans.registry import query, table
+from clearwake.plans.registry import query, wide_table
 
 
 def _when(condition: str, text: str, other: str = "") -> Column:
@@ -15,7 +15,7 @@ def _when(condition: str, text: str, other: str = "") -> Column:
 
 def _manifest(spark: SparkSession, sf_dir: str, *parts: Column | str) -> DataFrame:
     body = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-    return table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
+    return wide_table(spark, sf_dir, "documents", "doc_id").select("doc_id", body.alias("body"))
 
 
 def compose_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:

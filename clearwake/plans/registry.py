@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clearwake.session import configure
+from clearwake.session import configure, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,3 +34,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def wide_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose rows are costly to work on, on all cores."""
+    return spread(table(spark, sf_dir, name), key)

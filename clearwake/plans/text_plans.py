@@ -33,7 +33,7 @@ from clearwake.plans.inputs import (
     sql_strip,
     sql_trim,
 )
-from clearwake.plans.registry import query, table
+from clearwake.plans.registry import query, table, wide_table
 
 PAGE_MIN_BYTES = 80
 
@@ -88,7 +88,7 @@ def blank_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("strip_html", f"SELECT page_id, {sql_strip('html')} AS text FROM pages")
 def strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", strip_html("html").alias("text"))
+    return wide_table(spark, sf_dir, "pages", "page_id").select("page_id", strip_html("html").alias("text"))
 
 
 @query(
@@ -96,7 +96,7 @@ def strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT doc_id, strlen({sql_trim('text')}) AS trimmed_bytes FROM documents WHERE strlen({sql_trim('text')}) >= 500",
 )
 def min_length_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return min_length(table(spark, sf_dir, "documents"), "text", 500).select(
+    return min_length(wide_table(spark, sf_dir, "documents", "doc_id"), "text", 500).select(
         "doc_id", F.octet_length(trim_white("text")).cast("long").alias("trimmed_bytes")
     )
 

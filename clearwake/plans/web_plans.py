@@ -19,8 +19,9 @@ from clearwake.operators.crawl import (
 from clearwake.operators.lineage import ingest_latency, latency_p95, lost_packets, trace_lineage
 from clearwake.operators.sanitize import classify_raw
 from clearwake.plans.inputs import CLASSIFIED, EPOCH, SQL_HIDDEN, TRACEPARENT, moment, raw_envelopes
-from clearwake.plans.registry import query, table
+from clearwake.plans.registry import query, table, wide_table
 from clearwake.plans.text_plans import PAGE_MIN_BYTES
+from clearwake.session import cut_lineage
 
 _HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)"""
 _LINKS = f"""
@@ -38,7 +39,7 @@ _INTERESTING = f"(href <> '' AND NOT starts_with(href, 'javascript:') AND NOT st
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_links(table(spark, sf_dir, "pages"))
+    return extract_links(wide_table(spark, sf_dir, "pages", "page_id"))
 
 
 @query("links", f"WITH {_LINKS} SELECT page_id, position, href FROM links")
@@ -148,7 +149,7 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         anchor(F.lit("/logo.png")),
         anchor(F.concat(F.lit("https://elsewhere.example/p/"), n.cast("string"))),
     )
-    return table(spark, sf_dir, "pages").select(
+    return wide_table(spark, sf_dir, "pages", "page_id").select(
         F.concat(F.lit("https://site.example/p/"), n.cast("string")).alias("url"),
         F.concat(F.col("html"), extra).alias("html"),
     )
@@ -192,8 +193,10 @@ def crawl_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Raw, sanitized, index and dead-letter rows; every seventh packet is not indexed."""
     classified = classify_raw(raw_envelopes(spark, sf_dir), PAGE_MIN_BYTES)
-    raw = classified.select("page_id", "traceparent", F.try_to_timestamp("collected_at").alias("collected_at"))
-    clean = classified.where("outcome = 'ok'").select("page_id", "traceparent")
+    collected = F.try_to_timestamp("collected_at").alias("collected_at")
+    # stage tables are stored where they are made, so packets are parsed once
+    raw = cut_lineage(classified.select("page_id", "traceparent", collected, "outcome"))
+    clean = raw.where("outcome = 'ok'").select("page_id", "traceparent")
     lost = F.col("page_id") % 7 == 0
     index = clean.where(~lost).withColumn(
         "timestamp", moment(F.col("page_id") + 30 + (F.col("page_id") * 37) % 150)

@@ -63,6 +63,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash a scan that has fewer splits than cores over the idle ones; leave a large scan alone.
+
+    A file with one row group is one task however costly the work on its rows is. A scan with
+    enough splits, which is any large one, is returned as it is and not shuffled.
+    """
+    spark = df.sparkSession
+    wanted = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """Stored copy of ``df``, marked for broadcast only when it was counted to be small.
 
