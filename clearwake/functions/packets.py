@@ -22,6 +22,27 @@ _STRICT_JSON = {
 }
 
 
+def _in_array(text: Column) -> Column:
+    return F.concat(F.lit("["), text, F.lit("]"))
+
+
+def _one_object_member(text: Column) -> Column:
+    members = F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.coalesce(F.size(members) == 1, F.lit(False))
+
+
+def strict_json(text: Column | str) -> Column:
+    """The text as a VARIANT if all of it is one JSON value, else null.
+
+    Spark's JSON functions stop after the first value and ignore what follows, so ``7 days`` would
+    pass as a number. As an array element and as an object member alike, only a single whole value
+    has nothing left over. The member check only scans; single quotes are refused by the other.
+    """
+    value = col_of(text)
+    parsed = F.try_variant_get(F.try_parse_json(_in_array(value)), "$[0]", "variant")
+    return F.when(_one_object_member(value), parsed)
+
+
 def _type_of(doc: Column, field: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(doc, f"$.{field}", "variant"))
 
@@ -35,9 +56,10 @@ def _with_document(df: DataFrame, value: str, fields: tuple[str, ...]) -> DataFr
     """Adds ``_doc`` (VARIANT), ``_big`` (struct of strings, oversize packets only), ``_json``."""
     schema = ", ".join(f"{f} STRING" for f in fields) + ", _corrupt STRING"
     raw = F.col(value)
-    doc = df.withColumn("_doc", F.try_parse_json(raw))
+    doc = df.withColumn("_doc", strict_json(raw))
     oversize = F.col("_doc").isNull() & (F.octet_length(raw) > _OVERSIZE_BYTES)
-    doc = doc.withColumn("_big", F.when(oversize, F.from_json(raw, schema, _STRICT_JSON)))
+    whole = (F.json_array_length(_in_array(raw)) == 1) & _one_object_member(raw)
+    doc = doc.withColumn("_big", F.when(oversize & whole, F.from_json(raw, schema, _STRICT_JSON)))
     big_ok = F.col("_big").isNotNull() & F.col("_big._corrupt").isNull()
     return doc.withColumn("_big", F.when(big_ok, F.col("_big"))).withColumn(
         "_json", F.col("_doc").isNotNull() | F.col("_big").isNotNull()
@@ -111,7 +133,7 @@ def parse_packet_with_meta(df: DataFrame, value: str = "value") -> DataFrame:
 def parse_packet(value: Column | str) -> Column:
     """Text of a packet as a single expression (no metadata, no quarantine, variant-size packets)."""
     raw = col_of(value)
-    return F.coalesce(F.nullif(string_field(F.try_parse_json(raw), "text"), F.lit("")), raw)
+    return F.coalesce(F.nullif(string_field(strict_json(raw), "text"), F.lit("")), raw)
 
 
 def to_raw_json() -> Column:

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clearwake.functions.packets import strict_json
+
 # The services and stores the compose rules name, and the rule messages.
 NAMED_SERVICES = (
     "elasticsearch",
@@ -211,7 +213,7 @@ def policy_scan(manifests: DataFrame, family: str, body: str = "body", key: str
     ``body`` is JSON text, or a VARIANT. A document that is not JSON has no violations.
     """
     rules = FAMILIES[family]
-    parsed = F.col(body) if manifests.schema[body].dataType.typeName() == "variant" else F.try_parse_json(body)
+    parsed = F.col(body) if manifests.schema[body].dataType.typeName() == "variant" else strict_json(body)
     docs = manifests.select(F.col(key), parsed.alias("_doc")).where("_doc IS NOT NULL")
     found = reduce(lambda a, b: F.concat(a, b), rules(F.col("_doc")))
     return docs.select(key, F.inline(F.array_distinct(found)))

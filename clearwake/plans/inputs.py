@@ -226,6 +226,9 @@ def conversation_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 3, F.lit('{"text": 5}'))
         .when(kind == 5, F.lit("[1]"))
         .when(kind == 7, F.lit('{"text": "", "source_url": "https://chat.example/"}'))
+        # plain text that only starts like JSON
+        .when(kind == 8, F.concat(F.lit("7 "), F.col("text")))
+        .when(kind == 9, F.concat(F.lit("[1] "), F.col("text")))
         .otherwise(packet)
     )
     return turns.select("conv_id", "turn", value.alias("value"))
@@ -239,6 +242,8 @@ packets AS (
               WHEN (conv_id + turn) % 11 = 3 THEN '{{"text": 5}}'
               WHEN (conv_id + turn) % 11 = 5 THEN '[1]'
               WHEN (conv_id + turn) % 11 = 7 THEN '{{"text": "", "source_url": "https://chat.example/"}}'
+              WHEN (conv_id + turn) % 11 = 8 THEN '7 ' || text
+              WHEN (conv_id + turn) % 11 = 9 THEN '[1] ' || text
               ELSE CAST(to_json({{'text': text, 'source_url': 'https://chat.example/' || CAST(conv_id AS VARCHAR),
                     'traceparent': {TRACEPARENT.format(_TURN_KEY)}}}) AS VARCHAR) END AS value
   FROM conversations),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearwake.functions.packets import parse_packet_with_meta, parse_raw_packet
+from clearwake.functions.packets import parse_packet_with_meta, parse_raw_packet, strict_json
 from clearwake.functions.risk import FEATURES, LABEL_SCORES, featurize, label_to_score
 from clearwake.functions.text import enriched_text, is_blank, keyword_hits, strip_html, trim_white, truncate
 from clearwake.functions.trace import make_traceparent, parse_traceparent
@@ -48,7 +48,7 @@ def scan_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw envelopes, one per page; serialised ones may differ in escapes, so only their form is compared."""
     return raw_envelopes(spark, sf_dir).select(
         "page_id",
-        F.try_parse_json("value").isNotNull().alias("is_json"),
+        strict_json("value").isNotNull().alias("is_json"),
         F.when(F.col("page_id") % 10 < 5, F.octet_length("value").cast("long")).alias("plain_bytes"),
     )
 

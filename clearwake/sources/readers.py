@@ -54,7 +54,7 @@ def read_load_summary(spark: SparkSession, path: str) -> DataFrame:
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     """Configuration documents, one file each: ``doc_id`` (file path) and ``body``."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("body"))
 
 

@@ -22,6 +22,9 @@ from clearwake.schemas import DLQ, INDEX, require_exact
 
 HELLO = "<html><body><h1>Hello</h1><p>world</p></body></html>"
 
+# text that starts like JSON but is none as a whole
+TRAILING = ('{"raw_html":"x"} y', '{"text":"x"}]', '{"text":"x"}}', "2024 was dry", "1,2,3", '1,"v":2', '"a" b', "[1] see", "nullable", "1] a", "1} a", '{"text":"a"')
+
 # value -> html (None: the value itself), traceparent, source_url, fallback, outcome with minimum 3
 RAW = [
     ('{"raw_html":"%s","source_url":"https://a","traceparent":"00-abc-def-01"}' % HELLO, HELLO, "00-abc-def-01", "https://a", False, "ok"),
@@ -37,6 +40,7 @@ RAW = [
     ("[1]", None, None, None, False, "ok"),
     ("{'raw_html':'x'}", None, None, None, True, "ok"),
     ('{"raw_html":"x","raw_html":"yyyy"}', "yyyy", None, None, False, "ok"),
+    *((v, None, None, None, True, "ok") for v in TRAILING),
     ('{"raw_html":"<p>é</p>"}', "<p>é</p>", None, None, False, "dropped"),
     ('{"raw_html":"<p>éé</p>"}', "<p>éé</p>", None, None, False, "ok"),
 ]
@@ -45,6 +49,8 @@ ENVELOPE = '{"error":"e","payload":"p","failed_at":"t","traceparent":"00-abc-def
 # value -> text (None: the value itself), traceparent, source_url, fallback, quarantine
 SANITIZED = [
     ("plain text", None, None, None, True, None),
+    *((v, None, None, None, True, None) for v in TRAILING),
+    (' {"text": "padded"}\n', "padded", None, None, False, None),
     ('{"text": "clean content"}', "clean content", None, None, False, None),
     (
         '{"text": "clean content", "traceparent": "00-abc-def-01", "source_url": "https://example.com"}',
