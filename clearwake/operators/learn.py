@@ -9,7 +9,7 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clearwake.functions.risk import FEATURES, featurize
@@ -124,49 +124,61 @@ def cross_validate(
 # -- text features -------------------------------------------------------------------------------
 
 
-def terms_of(text: Column | str) -> Column:
-    """Words of two or more characters and their bigrams."""
-    words = word_tokens(text, 2)
-    pairs = F.when(
-        F.size(words) > 1,
-        F.zip_with(
-            F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
-            F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
-            lambda a, b: F.concat_ws(" ", a, b),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+def term_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, term``: words of two or more characters and their bigrams, one row per occurrence.
 
+    Rows are hashed by key once, so that counting and summing per key need no further shuffle.
+    """
+    words = df.select(key, text).repartition(key).select(key, word_tokens(text, 2).alias("word"))
+    following = F.slice("word", F.lit(2), F.size("word")).alias("next")
+    pairs = words.where(F.size("word") > 0).select(key, F.inline(F.arrays_zip("word", following)).alias("word", "next"))
+    bigram = F.concat("word", F.lit(" "), "next")  # null after the last word
+    return pairs.select(key, F.explode(F.array("word", bigram)).alias("term")).where("term IS NOT NULL")
 
-def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, term, tf``. Rows are hashed by key once; counting and later sums per key stay local."""
-    spread = df.select(key, text).repartition(key)
-    return spread.select(key, F.explode(terms_of(text)).alias("term")).groupBy(key, "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
+
+def top_terms(rows: DataFrame, size: int = VOCABULARY) -> DataFrame:
+    """``term``: the most frequent terms, ties in term order; at most ``size`` rows."""
+    counted = rows.groupBy("term").agg(F.count(F.lit(1)).alias("_cf"))
+    return counted.orderBy(F.desc("_cf"), "term").limit(size).select("term")
+
+
+def vocabulary(counts: DataFrame, documents: int) -> DataFrame:
+    """``term, idf`` of per-row term counts: one row per term counted."""
+    idf = F.log((1.0 + documents) / (1.0 + F.count(F.lit(1)))) + 1.0
+    return counts.groupBy("term").agg(idf.alias("idf"))
 
 
-def vocabulary(counts: DataFrame, documents: Column | int, size: int = VOCABULARY) -> DataFrame:
-    """The most frequent terms (ties by term): ``term, idf``; at most ``size`` rows."""
-    ranked = counts.groupBy("term").agg(F.sum("tf").alias("_cf"), F.count(F.lit(1)).alias("_df"))
-    top = ranked.orderBy(F.desc("_cf"), "term").limit(size)
-    total = documents if isinstance(documents, Column) else F.lit(documents)
-    return top.select("term", (F.log((1.0 + total) / (1.0 + F.col("_df"))) + 1.0).alias("idf"))
+def term_counts(rows: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """``key, term, tf`` of the terms in a vocabulary.
 
+    A vocabulary is cut to a fixed number of rows, so broadcasting it does not follow the data.
+    Joining before counting keeps the many rare terms out of the aggregation.
+    """
+    known = rows.join(F.broadcast(terms.select("term")), "term")
+    return known.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
-def _weigh(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    # the vocabulary is cut to a fixed number of rows, so its size does not follow the data
-    joined = counts.join(F.broadcast(vocab), "term")
-    raw = joined.withColumn("_w", (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
+
+def weigh(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+    """Term counts with ``weight``: sublinear tf times idf, unit length per key."""
+    raw = counts.join(F.broadcast(vocab), "term").withColumn(
+        "_w", (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")
+    )
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return raw.withColumn("weight", F.col("_w") / norm).drop("_w")
 
 
+def _fit_terms(df: DataFrame, key: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """Stored term counts within the vocabulary, and the vocabulary. Text is read twice: for the
+    vocabulary and for the counts, which are as long as the result."""
+    rows = term_rows(df, key, text)
+    counts = cut_lineage(term_counts(rows, top_terms(rows, size), key))
+    return counts, vocabulary(counts, df.count())
+
+
 def tfidf(df: DataFrame, key: str, text: str = "text", size: int = VOCABULARY) -> DataFrame:
-    """``key, term, weight``: sublinear tf, smoothed idf, unit length per row."""
-    counts = term_counts(df, key, text)
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return _weigh(counts, vocabulary(counts, total, size), key).select(key, "term", "weight")
+    """``key, term, weight`` of the ``size`` most frequent words and bigrams."""
+    counts, vocab = _fit_terms(df, key, text, size)
+    return weigh(counts, vocab, key).select(key, "term", "weight")
 
 
 @F.udf(returnType=VectorUDT())
@@ -182,7 +194,9 @@ class TextModel:
         self.vocab, self.size, self.classifier, self.labels = vocab, size, classifier, labels
 
     def transform(self, df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-        rows = _vectors(df, self.vocab, self.size, key, text)
+        source = df.select(key, enriched_text(text, "entities").alias("_text"))
+        counts = term_counts(term_rows(source, key, "_text"), self.vocab, key)
+        rows = _vectors(df, weigh(counts, self.vocab, key), self.size, key)
         names = F.array(*(F.lit(name) for name in self.labels))
         scored = self.classifier.transform(rows)
         predicted = scored.select(
@@ -201,11 +215,9 @@ class TextModel:
         ).json(f"{path}/labels")
 
 
-def _vectors(df: DataFrame, vocab: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    source = df.select(key, enriched_text(text, "entities").alias("_text"))
-    weights = _weigh(term_counts(source, key, "_text"), vocab, key)
+def _vectors(keys: DataFrame, weights: DataFrame, size: int, key: str) -> DataFrame:
     packed = weights.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("_e"))
-    keyed = source.select(key).join(packed, key, "left")
+    keyed = keys.select(key).join(packed, key, "left")
     empty = F.array().cast("array<struct<i:int,weight:double>>")
     return keyed.select(key, _sparse(F.lit(size), F.coalesce("_e", empty)).alias("_features"))
 
@@ -214,16 +226,15 @@ def train_text(
     cases: DataFrame, label: str = "expected_label", key: str = "id", text: str = "text", size: int = VOCABULARY
 ) -> TextModel:
     source = cases.select(key, enriched_text(text, "entities").alias("_text"))
-    counts = term_counts(source, key, "_text")
-    total = cases.count()
-    numbered = vocabulary(counts, total, size).select(
-        (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("i"), "term", "idf"
+    counts, terms = _fit_terms(source, key, "_text", size)
+    # a vocabulary is short enough to be numbered in one task
+    vocab = cut_lineage(
+        terms.select((F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("i"), "term", "idf")
     )
-    vocab = cut_lineage(numbered)
-    width = max(vocab.count(), 1)
+    width, total = max(vocab.count(), 1), cases.count()
     weighted = _weighted(cases.select(key, label), label)
     indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(weighted)
-    rows = indexer.transform(weighted).join(_vectors(cases, vocab, width, key, text), key)
+    rows = indexer.transform(weighted).join(_vectors(cases, weigh(counts, vocab, key), width, key), key)
     classifier = LogisticRegression(
         featuresCol="_features",
         labelCol="_label",

@@ -11,7 +11,8 @@ from clearwake.operators.learn import (
     cross_validate,
     load_model,
     load_text_model,
-    terms_of,
+    term_rows,
+    top_terms,
     text_folds,
     train_accuracy,
     train_forest,
@@ -95,8 +96,11 @@ def test_features_and_model_text(spark):
     df = frame(spark, [("a", "Key HTTP://x http@y", [P], "LOW")])
     assert tuple(df.select(*featurize("text", "entities").values()).first()) == (1, 1, 19, 2, 1)
     assert df.select(enriched_text("text", "entities")).first()[0] == "Key HTTP://x http@y __entity_count_1__"
-    grams = spark.range(1).select(terms_of(F.lit("A big, red x balloon"))).first()[0]
-    assert grams == ["big", "red", "balloon", "big red", "red balloon"]
+    texts = spark.createDataFrame([(1, "A big, red x balloon"), (2, "x"), (3, "Red big red"), (4, None)], "id long, text string")
+    rows = [(r["id"], r["term"]) for r in term_rows(texts, "id", "text").collect()]
+    assert sorted(t for i, t in rows if i == 1) == ["balloon", "big", "big red", "red", "red balloon"]
+    assert sorted(t for i, t in rows if i == 3) == ["big", "big red", "red", "red", "red big"] and len(rows) == 10
+    assert [r["term"] for r in top_terms(term_rows(texts, "id", "text"), 3).collect()] == ["red", "big", "big red"]
 
 
 PHRASES = [("Ann", "PERSON"), ("Ann Lee", "PERSON"), ("Lee Corp", "ORG"), ("New Oslo", "GPE"), ("Oslo", "GPE"), ("red", "COLOUR")]
