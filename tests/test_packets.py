@@ -19,6 +19,7 @@ from clearwake.operators.dlq import normalise_dlq, parse_dlq, replay
 from clearwake.operators.enrich import enrich
 from clearwake.operators.sanitize import classify_raw, min_length, sanitize
 from clearwake.schemas import DLQ, INDEX, require_exact
+from clearwake.session import cut_lineage
 
 HELLO = "<html><body><h1>Hello</h1><p>world</p></body></html>"
 
@@ -111,9 +112,11 @@ def test_parse_packet(spark):
 
 
 def test_packets_beyond_the_variant_limit(spark):
-    filler = F.repeat(F.lit("abcdefghij"), 2_000_000)
-    df = spark.range(1).select(
-        F.concat(F.lit('{"raw_html":"<b>'), filler, F.lit('</b>","text":"'), filler, F.lit('","source_url":"u"}')).alias("value")
+    filler = F.repeat(F.lit("abcdefghij"), (F.col("id") + 2_000_000).cast("int"))
+    df = cut_lineage(
+        spark.range(1).select(
+            F.concat(F.lit('{"raw_html":"<b>'), filler, F.lit('</b>","text":"'), filler, F.lit('","source_url":"u"}')).alias("value")
+        )
     )
     raw = classify_raw(df).select(F.length("text"), "parse_fallback", "source_url").first()
     assert tuple(raw) == (20_000_000, False, "u")
