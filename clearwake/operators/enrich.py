@@ -93,12 +93,13 @@ def enrich_text(
     strategy: str = "rules",
     model=None,
     text: str = "text",
+    content_chars: int = CONTENT_CHARS,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Rows with a ``text`` to index rows. Scores the whole text, stores its start."""
     scored = score(extractor(df, text), strategy, model, text)
     stamped = stamp(scored, schema_version, model_version, now)
-    out = stamped.withColumn("content", truncate(text, CONTENT_CHARS)).withColumn(
+    out = stamped.withColumn("content", truncate(text, content_chars)).withColumn(
         "entity_count", F.size("entities")
     )
     for meta in ("traceparent", "source_url"):
