@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clearwake.llm import sharding, url_filter
+from clearwake.llm import decontamination, quality_rules, sharding, url_filter
 from clearwake.session import configure
 
 
@@ -15,10 +15,14 @@ def _configured(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[Sp
 
 
 QUERIES = {
+    "op2_quality_rules": _configured(quality_rules.query),
     "op4_sharding": _configured(sharding.query),
+    "op8_decontamination": _configured(decontamination.query),
     "op9_url_filter": _configured(url_filter.query),
 }
 
 ORACLES = {
+    "op2_quality_rules": quality_rules.SQL.strip(),
+    "op8_decontamination": decontamination.SQL.strip(),
     "op9_url_filter": url_filter.SQL.strip(),
 }

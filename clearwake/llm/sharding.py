@@ -42,8 +42,8 @@ def sized(docs: DataFrame) -> DataFrame:
 def prefix_sums(rows: DataFrame) -> DataFrame:
     """One row per group in digest order: ``digest, bytes, upto`` (bytes up to and with it)."""
     groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
-    digits = 2
-    while digits < 4 and rows.count() > WINDOW_GROUPS * 16**digits:
+    digits, count = 2, rows.count()
+    while digits < 4 and count > WINDOW_GROUPS * 16**digits:
         digits += 1
     groups = groups.withColumn("bucket", F.substring("digest", 1, digits))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
