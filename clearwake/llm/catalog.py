@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clearwake.llm import decontamination, quality_rules, sharding, url_filter
+from clearwake.llm import decontamination, packing, quality_rules, secret_scan, sharding, url_filter
 from clearwake.session import configure
 
 
@@ -16,9 +16,11 @@ def _configured(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[Sp
 
 QUERIES = {
     "op2_quality_rules": _configured(quality_rules.query),
+    "op3_secret_scan": _configured(secret_scan.query),
     "op4_sharding": _configured(sharding.query),
     "op8_decontamination": _configured(decontamination.query),
     "op9_url_filter": _configured(url_filter.query),
+    "op10_packing": _configured(packing.query),
 }
 
 ORACLES = {
