@@ -8,6 +8,8 @@ windows, over all fill levels, becomes smallest. The counts are one array with a
 from __future__ import annotations
 
 import os
+import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,8 +28,8 @@ WINDOW = 2048
 END_ID = 1
 #: Beyond so many partially filled windows a task joins their contents, cutting pieces where a window is full.
 MAX_OPEN = 1024
-#: Words whose ids a task remembers.
-CACHE_WORDS = 200_000
+#: Pieces of text whose ids a worker remembers: twice so many at most, the longest unused ones go first.
+CACHE_PIECES = 400_000
 _FLUSH_IDS = 1 << 20
 
 
@@ -40,29 +42,82 @@ def tokenizer(path: str | None):
     return Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
 
 
-class WordTokens:
-    """Ids of texts, each different word between white space encoded once.
+_KNOWN: dict[str | None, list[dict[bytes, bytes]]] = {}
+_LETTER = np.array([b < 0x80 and chr(b).isalpha() for b in range(256)])
+_OTHER = np.array([b < 0x80 and not chr(b).isalpha() for b in range(256)])
+#: Letters whose lower case and canonical form are certain: such a piece goes to the model as it is.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+# The byte-level alphabet writes a byte as its own Latin-1 character, others as those from 256 on.
+_HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
 
-    Holds for vocabularies that drop white space and never join across it, as word-level BPE does.
+
+def _pieces(texts: pa.Array) -> wa.Words:
+    """Runs between white space, cut further between Latin-1 letters and other ASCII characters.
+
+    The tokenizer's own pattern always splits there, but for a contraction after an apostrophe.
+    """
+    raw, offsets = wa.text_bytes(texts)
+    letter, other = _LETTER[raw], _OTHER[raw]
+    # letters of two bytes from U+00C0 to U+00FF, but for the signs of multiplication and division
+    latin = (raw[:-1] == 0xC3) & ((raw[1:] & 0xDF) != 0x97)
+    letter_end, letter_start = letter.copy(), letter.copy()
+    letter_end[1:] |= latin
+    letter_start[:-1] |= latin
+    cut = np.zeros(len(raw), bool)
+    cut[1:] = (letter_end[:-1] & other[1:]) | (other[:-1] & letter_start[1:] & (raw[:-1] != ord("'")))
+    return wa.split_words(raw, offsets, wa.NOT_SPACE, wa.LOWER, cut)
+
+
+def pack(*ids: int) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class TextTokens:
+    """Ids of texts, each different piece encoded once.
+
+    Holds for a vocabulary that lowers case, drops white space, and tells letters, digits and the rest apart before
+    it joins anything, with a mark at the end of each run. Strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str | None) -> None:
-        self.encode = tokenizer(path).encode_batch
-        self.known: dict[bytes, np.ndarray] = {}
+        self.tokenizer = tokenizer(path)
+        # of the worker, not of the task: pieces seen lately, and those before them
+        self.known = _KNOWN.setdefault(path, [{}, {}])
+
+    def learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of at least these pieces."""
+        if len(self.known[0]) > CACHE_PIECES:
+            self.known[:] = [{}, self.known[0]]
+        recent, before = self.known
+        model, rest = self.tokenizer.model, []
+        for piece in pieces:
+            if piece in recent:
+                continue
+            if piece in before:
+                recent[piece] = before[piece]
+                continue
+            if not piece.isalpha():
+                lowered = piece.decode().lower()
+                if not _PLAIN.fullmatch(lowered):
+                    rest.append(piece)
+                    continue
+                letters = lowered.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            else:
+                letters = piece.decode()
+            recent[piece] = pack(*[t.id for t in model.tokenize(letters)])
+        for piece, found in zip(rest, self.tokenizer.encode_batch([p.decode() for p in rest], add_special_tokens=False)):
+            recent[piece] = pack(*found.ids)
+        return recent
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's closed by ``END_ID``, and where each text starts."""
-        raw, offsets = wa.text_bytes(texts)
-        words = wa.split_words(raw, offsets, wa.NOT_SPACE)
+        words = _pieces(texts)
         vocabulary = words.vocabulary.to_pylist()
-        if len(self.known) + len(vocabulary) > CACHE_WORDS:
-            self.known = {}
-        fresh = [w for w in vocabulary if w not in self.known]
-        found = self.encode([w.decode() for w in fresh], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, np.uint32)) for w, e in zip(fresh, found))
-        parts = [self.known[w] for w in vocabulary] + [np.array([END_ID], np.uint32)]
-        flat = np.concatenate(parts)
-        sizes = np.array([len(p) for p in parts])
+        known = self.learn(vocabulary)
+        parts = [*map(known.__getitem__, vocabulary), pack(END_ID)]
+        flat = np.frombuffer(b"".join(parts), "<u4")
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         codes = np.insert(words.codes, words.rows[1:], len(vocabulary))
         lengths = sizes[codes]
@@ -152,7 +207,7 @@ def pack_documents(
     schema = to_arrow_schema(StructType.fromDDL(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, tokens = Packer(window, max_open), WordTokens(vocabulary)
+        packer, tokens = Packer(window, max_open), TextTokens(vocabulary)
         sequence = TaskContext.get().partitionId() << 32
 
         def flushed() -> pa.RecordBatch:
@@ -161,7 +216,7 @@ def pack_documents(
             for pieces in packer.closed:
                 offset = 0
                 for document, start, ids, total in pieces:
-                    row = (document, start, len(ids), ids.astype("<u4").tobytes(), total, sequence, offset)
+                    row = (document, start, len(ids), ids.tobytes(), total, sequence, offset)
                     for column, value in zip(rows, row):
                         column.append(value)
                     offset += len(ids)

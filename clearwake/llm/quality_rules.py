@@ -23,6 +23,8 @@ from clearwake.session import cut_lineage
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 REPEAT_WINDOW = 8
+#: A line that recurs in a text of fewer lines counts as in a text of so many.
+FEW_LINES = 10
 #: A limit lies so many spreads beyond the upper (or lower) quartile ...
 SPREADS = 4
 #: ... where a spread is the distance of the quartiles, but at least this, in thousandths: (measure, least spread, lower limit too).
@@ -105,7 +107,7 @@ def with_measures(counted: DataFrame) -> DataFrame:
         {
             "base_failed": failed,
             "symbol_rate": _rate("n_symbols", "n_words"),
-            "dup_line_rate": _rate("n_dup_lines", "n_lines"),
+            "dup_line_rate": _rate("n_dup_lines", f"greatest(n_lines, {FEW_LINES})"),
             "repeat_rate": _rate("n_repeat_words", "n_words"),
             "upper_rate": _rate("n_upper", "word_chars"),
             "word_length": _rate("word_chars", "n_words"),
@@ -207,7 +209,7 @@ counted AS (
 measured AS (
   SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
          coalesce(n_symbols * 1000 // nullif(n_words, 0), 0) AS symbol_rate,
-         coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0) AS dup_line_rate,
+         coalesce(n_dup_lines * 1000 // greatest(n_lines, {FEW_LINES}), 0) AS dup_line_rate,
          coalesce(n_repeat_words * 1000 // nullif(n_words, 0), 0) AS repeat_rate,
          coalesce(n_upper * 1000 // nullif(word_chars, 0), 0) AS upper_rate,
          coalesce(word_chars * 1000 // nullif(n_words, 0), 0) AS word_length

@@ -92,9 +92,16 @@ class Words:
 
 
 def split_words(
-    raw: np.ndarray, offsets: np.ndarray, member: np.ndarray, fold: np.ndarray = IDENTITY
+    raw: np.ndarray,
+    offsets: np.ndarray,
+    member: np.ndarray,
+    fold: np.ndarray = IDENTITY,
+    cut: np.ndarray | None = None,
 ) -> Words:
-    """Maximal runs of ``member`` bytes in each row, with bytes replaced by ``fold``."""
+    """Maximal runs of ``member`` bytes in each row, with bytes replaced by ``fold``.
+
+    ``cut`` marks bytes that start a new run also where the byte before belongs to one.
+    """
     inside = member[raw]
     before = np.zeros(len(raw), bool)
     before[1:] = inside[:-1]
@@ -103,6 +110,9 @@ def split_words(
     after[:-1] = inside[1:]
     if len(raw):
         after[offsets[1:] - 1] = False
+    if cut is not None:
+        before &= ~cut
+        after[:-1] &= ~cut[1:]
     begin = np.flatnonzero(inside & ~before)
     end = np.flatnonzero(inside & ~after) + 1
     letters = fold[raw[inside]]
