@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clearwake.llm import decontamination, packing, quality_rules, secret_scan, sharding, url_filter
+from clearwake.llm import decontamination, importance, packing, quality_rules, secret_scan, sharding, url_filter, warc
 from clearwake.session import configure
 
 
@@ -18,12 +18,15 @@ QUERIES = {
     "op2_quality_rules": _configured(quality_rules.query),
     "op3_secret_scan": _configured(secret_scan.query),
     "op4_sharding": _configured(sharding.query),
+    "op5_quality_classifier": _configured(importance.query),
+    "op6_warc": _configured(warc.query),
     "op8_decontamination": _configured(decontamination.query),
     "op9_url_filter": _configured(url_filter.query),
     "op10_packing": _configured(packing.query),
 }
 
 ORACLES = {
+    "op6_warc": warc.SQL.strip(),
     "op2_quality_rules": quality_rules.SQL.strip(),
     "op8_decontamination": decontamination.SQL.strip(),
     "op9_url_filter": url_filter.SQL.strip(),
