@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clearwake.llm import decontamination, importance, packing, quality_rules, secret_scan, sharding, url_filter, warc
+from clearwake.llm import decontamination, importance, license_scan, packing, quality_rules, secret_scan, sharding, url_filter, warc
 from clearwake.session import configure
 
 
@@ -20,6 +20,7 @@ QUERIES = {
     "op4_sharding": _configured(sharding.query),
     "op5_quality_classifier": _configured(importance.query),
     "op6_warc": _configured(warc.query),
+    "op7_license_scan": _configured(license_scan.query),
     "op8_decontamination": _configured(decontamination.query),
     "op9_url_filter": _configured(url_filter.query),
     "op10_packing": _configured(packing.query),
@@ -28,6 +29,7 @@ QUERIES = {
 ORACLES = {
     "op6_warc": warc.SQL.strip(),
     "op2_quality_rules": quality_rules.SQL.strip(),
+    "op7_license_scan": license_scan.SQL.strip(),
     "op8_decontamination": decontamination.SQL.strip(),
     "op9_url_filter": url_filter.SQL.strip(),
 }
