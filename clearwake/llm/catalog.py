@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clearwake.llm import decontamination, importance, license_scan, packing, quality_rules, secret_scan, sharding, url_filter, warc
+from clearwake.llm import decontamination, importance, jaccard_join, license_scan, packing, quality_rules, secret_scan, sharding, url_filter, warc
 from clearwake.session import configure
 
 
@@ -15,6 +15,7 @@ def _configured(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[Sp
 
 
 QUERIES = {
+    "op1_jaccard_join": _configured(jaccard_join.query),
     "op2_quality_rules": _configured(quality_rules.query),
     "op3_secret_scan": _configured(secret_scan.query),
     "op4_sharding": _configured(sharding.query),
