@@ -6,7 +6,6 @@ so a larger benchmark means more scans, not a larger broadcast. Documents are sc
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from clearwake.llm import word_arrays as wa
 from clearwake.plans.registry import table
@@ -176,9 +177,6 @@ def find_contamination(
         F.array().cast("array<string>").alias("items"),
     )
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     out = f"{fields}, {_FOUND}"
     schema = to_arrow_schema(StructType.fromDDL(out))
     done = 0
@@ -206,11 +204,11 @@ def decontaminate(
 
     Hit spans are cut from a text. A document goes if more than ``max_share`` of its words are hit.
     """
-    columns = docs.columns
-    found = find_contamination(docs, benchmark, size, tuple(columns))
+    # a struct keeps the columns apart from the operator's own
+    found = find_contamination(docs.select(F.struct(*docs.columns).alias("row"), "text"), benchmark, size, ("row",))
     share = F.size("hit_words") > max_share * F.col("n_words")
-    cleaned = found.where(~share).withColumn("text", without_spans())
-    return cleaned.select(*columns)
+    cleaned = found.where(~share).select(F.col("row").withField("text", without_spans()).alias("row"))
+    return cleaned.select("row.*")
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

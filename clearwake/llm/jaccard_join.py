@@ -1,12 +1,13 @@
 """Similar documents by the Jaccard similarity of word 5-shingles, at least 0.8, through signature trees.
 
 Equal shingle sets are one class. Two similar sets share one of the first fifth of their shingles in any common
-order (the prefix), so classes meet in cells, one per prefix shingle; shingles frequent in a bounded sample come
+order (the prefix), so the classes that share a prefix shingle meet in a cell. Cells with the same smallest class are one, as
+texts that share a passage share many shingles. Shingles frequent in a bounded sample come
 last in the order, which keeps cells small. Signature trees run inside blocks of cells:
 
 1. Classes with an equal minimum hash are joined in blocks with their sets, which links most groups of near copies.
 2. Cells that still hold several components are searched with bitmaps only. First each class and foreign component
-   gives one pair, and after these are verified and merged, all remaining pairs.
+   gives one pair, and after these are verified and merged, cells that held back others give all pairs left.
 
 Pairs inside one component are never made, so a group of copies costs as much as its size. Cells of any size are cut into blocks,
 and blocks that a tree can't tell apart meet pair by pair; no cell is held in one task, and none is left out.
@@ -30,10 +31,12 @@ from clearwake.session import cut_lineage
 
 SHINGLE = 5
 #: Documents whose shingles are counted to find frequent ones, and the count from which one is frequent.
-SAMPLE_DOCS, FREQUENT = 8_000, 16
+SAMPLE_DOCS, FREQUENT = 4_000, 12
 ROUNDS = 2
 #: Classes of one block; a larger cell is cut.
 BLOCK = 1_024
+#: Rows that one call works on, about; small blocks go together.
+BUNDLE_ROWS = 2_000
 #: Up to so many wanted ids are broadcast; beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _SEEDS = np.array([0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93], np.uint64)
@@ -90,12 +93,12 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def features(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``doc_id, n_shingles, digest, prefix, lows`` of every row; the last three are null for an empty set."""
+    """``doc_id, n_shingles, digest, prefix, lows, bits`` of every row; the last four are null for an empty set."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    out = "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>, lows array<bigint>"
+    out = "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>, lows array<bigint>, bits binary"
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()),
-         ("prefix", pa.list_(pa.int64())), ("lows", pa.list_(pa.int64()))]
+         ("prefix", pa.list_(pa.int64())), ("lows", pa.list_(pa.int64())), ("bits", pa.binary())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,10 +109,11 @@ def features(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             if len(common):
                 late = common[np.minimum(at, len(common) - 1)] == shingles
             mixed = [wa.mix(shingles ^ seed) for seed in _SEEDS[:ROUNDS]]
-            digests, prefixes, lows = [], [], []
+            digests, prefixes, lows, bits = [], [], [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 if a == b:
-                    digests.append(None), prefixes.append(None), lows.append(None)
+                    for column in (digests, prefixes, lows, bits):
+                        column.append(None)
                     continue
                 own, size = shingles[a:b], b - a
                 length = size - -(-4 * size // 5) + 1
@@ -119,11 +123,12 @@ def features(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 prefixes.append(rare[:length].view(np.int64))
                 lows.append(np.array([m[a:b].min() for m in mixed], np.uint64).view(np.int64))
+                bits.append(tree.bitmap(own).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id").cast(pa.int64()),
                     pa.array(np.diff(bounds)),
-                    *(pa.array(v, f.type) for v, f in zip((digests, prefixes, lows), list(schema)[2:])),
+                    *(pa.array(v, f.type) for v, f in zip((digests, prefixes, lows, bits), list(schema)[2:])),
                 ],
                 schema=schema,
             )
@@ -132,32 +137,22 @@ def features(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, n, shingles, bits`` of the wanted classes (``node, doc_id, digest``), computed anew from their texts."""
+    """``node, shingles`` of the wanted classes (``node, doc_id, digest``), computed anew from their texts."""
     ids = wanted.select("doc_id").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    schema = pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("shingles", pa.binary()), ("bits", pa.binary())])
+    schema = pa.schema([("digest", pa.binary()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, shingles, bounds in _batches(batches):
-            rows = []
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                if a < b:
-                    own = shingles[a:b].tobytes()
-                    rows.append(
-                        {
-                            "digest": hashlib.blake2b(own, digest_size=16).digest(),
-                            "n": b - a,
-                            "shingles": own,
-                            "bits": tree.bitmap(shingles[a:b]).tobytes(),
-                        }
-                    )
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            sets = [shingles[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            digests = [hashlib.blake2b(own, digest_size=16).digest() for own in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], schema=schema)
 
     found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    made = found.select("text").mapInArrow(run, "digest binary, n bigint, shingles binary, bits binary")
+    made = found.select("text").mapInArrow(run, "digest binary, shingles binary")
     # rows that repeat an id with its text give the same set again
-    return made.join(wanted.select("node", "digest"), "digest").select("node", "n", "shingles", "bits")
+    return cut_lineage(made.join(wanted.select("node", "digest"), "digest").select("node", "shingles"))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -169,70 +164,88 @@ _EDGES = "a bigint, b bigint"
 _EDGE_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> tuple[dict[str, np.ndarray], dict[str, list[np.ndarray]]]:
-    """Whole-number columns as arrays, binary ones as arrays of 64-bit words; one row per node."""
-    whole: dict[str, list] = {}
-    for batch in batches:
-        for name, column in zip(batch.schema.names, batch.columns):
-            whole.setdefault(name, []).extend(column.to_pylist())
-    # a class may come more than once
-    nodes = np.array(whole["node"], np.int64)
-    first = np.unique(np.stack([nodes, np.array(whole.get("side", [0] * len(nodes)))], 1), axis=0, return_index=True)[1]
-    numbers, words = {}, {}
-    for name, values in whole.items():
-        if isinstance(values[0], bytes):
-            words[name] = [np.frombuffer(values[i], np.uint64) for i in first]
-        else:
-            numbers[name] = np.array(values)[first]
-    return numbers, words
-
-
-def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+def _blocks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[dict[str, np.ndarray], dict[str, list]]]:
+    """The blocks of a bundle: whole-number columns as arrays, binary ones as 64-bit words; one row per node."""
+    bundle = pa.Table.from_batches(list(batches))
+    whole = {n: np.asarray(bundle.column(n).combine_chunks()) for n in bundle.column_names if bundle.schema.field(n).type != pa.binary()}
+    binary = {n: bundle.column(n).combine_chunks() for n in bundle.column_names if n not in whole}
+    order = np.lexsort([whole["node"], *(whole[k] for k in reversed(keys))])
+    changes = np.zeros(len(order), bool)
+    for k in keys:
+        changes[1:] |= whole[k][order][1:] != whole[k][order][:-1]
+    for rows in np.split(order, np.flatnonzero(changes)):
+        # a class may come more than once
+        rows = rows[np.concatenate([[True], whole["node"][rows][1:] != whole["node"][rows][:-1]])]
+        if len(rows) > 1:
+            yield (
+                {n: v[rows] for n, v in whole.items()},
+                {n: [np.frombuffer(v[i].as_buffer(), np.uint64) for i in rows.tolist()] for n, v in binary.items()},
+            )
+
+
+def _edges(found: list[tuple[int, int]]) -> list[pa.Array]:
     pairs = np.array(found, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(pairs.min(1, initial=2**62)), pa.array(pairs.max(1, initial=-1))], schema=_EDGE_SCHEMA)
+    return [pa.array(pairs.min(1, initial=2**62)), pa.array(pairs.max(1, initial=-1))]
 
 
-def _link_block(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a block, verified on the sets; only those that join two groups."""
-    numbers, words = _read(batches)
-    nodes, sizes, sets = numbers["node"], numbers["n"].astype(np.int64), words["shingles"]
-    group = np.arange(len(nodes))
-    root = tree.build(sizes, words["bits"])
+def _link_bundle(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each block, verified on the sets; only those that join two groups."""
     found = []
-    for left, right, _ in tree.pairs(root, root, group):
-        for i, j in zip(left.tolist(), right.tolist()):
-            if group[i] != group[j] and similar(sets[i], sets[j]):
-                found.append((nodes[i], nodes[j]))
-                group[group == group[j]] = group[i]
-    yield _edges(found)
+    for numbers, words in _blocks(batches, ["round", "low", "block"]):
+        nodes, sets = numbers["node"].tolist(), words["shingles"]
+        group = np.arange(len(nodes))
+        root = tree.build(numbers["n"], words["bits"])
+        for left, right, _ in tree.pairs(root, root, group):
+            for i, j in zip(left.tolist(), right.tolist()):
+                if group[i] != group[j] and similar(sets[i], sets[j]):
+                    found.append((nodes[i], nodes[j]))
+                    group[group == group[j]] = group[i]
+    yield pa.RecordBatch.from_arrays(_edges(found), schema=_EDGE_SCHEMA)
+
+
+_CANDIDATES = "a bigint, b bigint, cell bigint"
 
 
 def _candidates(best_only: bool):
-    """Pairs of a block (one cell part, or two of them) that bitmaps and sizes allow."""
+    """Pairs ``a, b`` of a block (one cell part, or two of them) that bitmaps and sizes allow. With ``best_only`` one for
+    each class and foreign component; a cell that holds back others is named in a row of its own."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cell", pa.int64())])
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, words = _read(batches)
-        nodes, sizes, side, bits = numbers["node"], numbers["n"].astype(np.int64), numbers["side"], words["bits"]
-        group = np.unique(numbers["component"], return_inverse=True)[1]
-        roots = []
-        for one in np.unique(side).tolist():
-            chosen = np.flatnonzero(side == one)
-            root = tree.build(sizes[chosen], [bits[i] for i in chosen])
-            roots.append(_placed(root, chosen))
         found: list[tuple[int, int]] = []
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for left, right, bound in tree.pairs(roots[0], roots[-1], group):
-            if not best_only:
-                found += zip(nodes[left].tolist(), nodes[right].tolist())
-                continue
-            for i, j, most in zip(left.tolist(), right.tolist(), bound.tolist()):
-                # of two equal chances the smaller node, so that the outcome doesn't hang on the order
-                for x, y in ((i, j), (j, i)):
-                    place, value = (x, int(group[y])), (most, -int(nodes[y]), y)
-                    if place not in best or best[place] < value:
-                        best[place] = value
-        found += [(nodes[x], nodes[y]) for (x, _), (_, _, y) in best.items()]
-        yield _edges(found)
+        fuller = set()
+        for numbers, words in _blocks(batches, ["cell", "low", "high"]):
+            nodes, sizes, side, bits = numbers["node"].tolist(), numbers["n"], numbers["side"], words["bits"]
+            group = np.unique(numbers["component"], return_inverse=True)[1]
+            roots = []
+            for one in np.unique(side).tolist():
+                chosen = np.flatnonzero(side == one)
+                roots.append(_placed(tree.build(sizes[chosen], [bits[i] for i in chosen]), chosen))
+            best: dict[tuple[int, int], tuple[int, int, int]] = {}
+            seen = 0
+            for left, right, bound in tree.pairs(roots[0], roots[-1], group):
+                seen += len(left)
+                for i, j, most in zip(left.tolist(), right.tolist(), bound.tolist()):
+                    if not best_only:
+                        found.append((nodes[i], nodes[j]))
+                        continue
+                    # of equal chances the smaller node, so that the outcome doesn't hang on the order
+                    for x, y in ((i, j), (j, i)):
+                        place, value = (x, int(group[y])), (most, -nodes[y], y)
+                        if place not in best or best[place] < value:
+                            best[place] = value
+            chosen_pairs = {(min(x, y), max(x, y)) for (x, _), (_, _, y) in best.items()}
+            found += [(nodes[x], nodes[y]) for x, y in chosen_pairs]
+            if best_only and len(chosen_pairs) < seen:
+                fuller.add(int(numbers["cell"][0]))
+        found = list(set(found))
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(pa.concat_arrays([x, pa.nulls(len(fuller), pa.int64())]) for x in _edges(found)),
+                pa.concat_arrays([pa.nulls(len(found), pa.int64()), pa.array(sorted(fuller), pa.int64())]),
+            ],
+            schema=schema,
+        )
 
     return run
 
@@ -247,7 +260,9 @@ def _placed(root: tree.Node, chosen: np.ndarray) -> tree.Node:
     return root
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The links among the pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
@@ -255,39 +270,45 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             kept = [
                 (a[i], b[i])
                 for i in range(batch.num_rows)
-                if similar(*(np.frombuffer(side[i].as_py(), np.uint64) for side in (left, right)))
+                if similar(*(np.frombuffer(side[i].as_buffer(), np.uint64) for side in (left, right)))
             ]
-            yield _edges(kept)
+            yield pa.RecordBatch.from_arrays(_edges(kept), schema=_EDGE_SCHEMA)
 
-    own = sets.select("node", "shingles")
-    sided = pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(
-        own.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b"
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = class_sets(docs, classes.join(ends, "node", "left_semi"))
+    sided = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b"
     )
     return sided.select("a", "b", "left", "right").mapInArrow(run, _EDGES).distinct()
 
 
-def _in_blocks(members: DataFrame, key: list[str]) -> DataFrame:
-    """``members`` with ``block``: a part of its ``key`` of about ``BLOCK`` rows."""
-    sizes = members.groupBy(*key).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
-    return members.join(sizes, key).withColumn(
-        "parts", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    ).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+def _bundle(keys: list[str], rows: int) -> F.Column:
+    """A number that puts about ``BUNDLE_ROWS`` rows together and keeps blocks whole."""
+    return F.pmod(F.xxhash64(*keys), F.lit(max(64, -(-rows // BUNDLE_ROWS)))).alias("bundle")
 
 
-def _cell_candidates(cells: DataFrame, sets: DataFrame, labels: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs of different components that some cell holds and its trees allow: ``a, b``."""
+def _first_blocks(lows: DataFrame) -> DataFrame:
+    """``round, low, block, node``: classes with an equal minimum hash, in parts of about ``BLOCK``."""
+    sizes = lows.groupBy("round", "low").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
+    parts = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
+    return lows.join(sizes, ["round", "low"]).select(
+        "round", "low", F.pmod(F.xxhash64("node"), parts).cast("int").alias("block"), "node"
+    )
+
+
+def _cell_candidates(cells: DataFrame, bits: DataFrame, labels: DataFrame, best_only: bool) -> DataFrame:
+    """``_candidates`` of the cells that hold several components, over all blocks."""
     placed = cells.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("shingle").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")
-    ).where(F.col("low") != F.col("high"))
+    mixed = placed.groupBy("cell").agg(
+        F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("members")
+    ).where(F.col("least") != F.col("most"))
     parts = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    split = placed.join(mixed, "shingle").select(
-        "shingle", "node", "component", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("block")
+    split = placed.join(mixed, "cell").select(
+        "cell", "node", "component", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("block")
     )
     # each part meets itself and every other part of its cell
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    met = split.select("*", other).select(
-        "shingle",
+    met = split.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
+        "cell",
         "node",
         "component",
         F.least("block", "other").alias("low"),
@@ -295,10 +316,9 @@ def _cell_candidates(cells: DataFrame, sets: DataFrame, labels: DataFrame, best_
         (F.col("block") > F.col("other")).cast("int").alias("side"),
     )
     return (
-        met.join(sets.select("node", "n", "bits"), "node")
-        .groupBy("shingle", "low", "high")
-        .applyInArrow(_candidates(best_only), _EDGES)
-        .distinct()
+        met.join(bits, "node")
+        .groupBy(_bundle(["cell", "low", "high"], cells.count()))
+        .applyInArrow(_candidates(best_only), _CANDIDATES)
     )
 
 
@@ -313,26 +333,30 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
     )
     leading = full.join(classes.select("node"), "node", "left_semi")
-    postings = leading.select("node", F.explode("prefix").alias("shingle"))
+    bits = leading.select("node", F.col("n_shingles").alias("n"), "bits")
+    sharing = Window.partitionBy("shingle")
     cells = cut_lineage(
-        postings.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("shingle")))
-        .where(F.col("members") > 1)
-        .select("shingle", "node")
-    )
-    lows = leading.select("node", F.posexplode("lows").alias("round", "low"))
-    blocks = cut_lineage(_in_blocks(lows, ["round", "low"]).select("round", "low", "block", "node"))
-    wanted = classes.join(
-        cells.select("node").unionByName(blocks.select("node")).distinct(), "node", "left_semi"
+        leading.select("node", F.explode("prefix").alias("shingle"))
+        .select("node", F.min("node").over(sharing).alias("cell"), F.max("node").over(sharing).alias("last"))
+        .where(F.col("cell") < F.col("last"))
+        .select("cell", "node")
+        .distinct()
     )
-    sets = cut_lineage(class_sets(narrow, wanted))
+    blocks = cut_lineage(_first_blocks(leading.select("node", F.posexplode("lows").alias("round", "low"))))
+    sets = class_sets(narrow, classes.join(blocks.select("node").distinct(), "node", "left_semi"))
     edges = cut_lineage(
-        blocks.join(sets, "node").groupBy("round", "low", "block").applyInArrow(_link_block, _EDGES).distinct()
+        blocks.join(sets.join(bits, "node"), "node")
+        .groupBy(_bundle(["round", "low", "block"], 4 * blocks.count()))
+        .applyInArrow(_link_bundle, _EDGES)
+        .distinct()
     )
     labels = components(edges)
     for best_only in (True, False):
-        more = _verify(_cell_candidates(cells, sets, labels, best_only), sets)
-        edges = cut_lineage(edges.unionByName(more).distinct())
+        found = cut_lineage(_cell_candidates(cells, bits, labels, best_only))
+        pairs = cut_lineage(found.where(F.col("cell").isNull()).select("a", "b").distinct())
+        edges = cut_lineage(edges.unionByName(_verify(narrow, pairs, classes)).distinct())
         labels = components(edges)
+        cells = cells.join(found.where(F.col("cell").isNotNull()).select("cell").distinct(), "cell", "left_semi")
     named = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows, cut_lineage(named.join(smallest, "component").select("digest", "component_id"))

@@ -119,7 +119,8 @@ def scan_secrets(docs: DataFrame, keep: tuple[str, ...] = (), vocabulary: str |
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", vocabulary: str | None = None) -> DataFrame:
     """``docs`` with every reported span replaced by ``mark``; overlapping spans by one."""
-    found = scan_secrets(docs, tuple(docs.columns), vocabulary)
+    # a struct keeps the columns apart from the operator's own
+    found = scan_secrets(docs.select(F.struct(*docs.columns).alias("row"), "text"), ("row", "text"), vocabulary)
     # by start: each step keeps what stands between the furthest end so far and the next span
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
 
@@ -136,7 +137,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", vocabulary: str | None = Non
         return F.concat(state["text"], F.substring(F.col("text"), state["at"] + 1, F.char_length("text")))
 
     cleaned = F.when(F.size("secrets") > 0, F.aggregate("secrets", start, step, finish)).otherwise(F.col("text"))
-    return found.withColumn("text", cleaned).select(*docs.columns)
+    return found.select(F.col("row").withField("text", cleaned).alias("row")).select("row.*")
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
