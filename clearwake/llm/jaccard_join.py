@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from clearwake.llm import signature_tree as tree
 from clearwake.llm import word_arrays as wa
@@ -37,8 +39,8 @@ ROUNDS = 2
 BLOCK = 1_024
 #: Rows that one call works on, about; small blocks go together.
 BUNDLE_ROWS = 2_000
-#: Up to so many wanted ids are broadcast; beyond, they are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Up to so many wanted classes are broadcast to the texts; beyond, both are joined by shuffle.
+BROADCAST_CLASSES = 300_000
 _SEEDS = np.array([0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -92,67 +94,72 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(np.asarray(found.column("shingle").combine_chunks()).astype(np.int64).view(np.uint64))
 
 
-def features(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``doc_id, n_shingles, digest, prefix, lows, bits`` of every row; the last four are null for an empty set."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    out = "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>, lows array<bigint>, bits binary"
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()),
-         ("prefix", pa.list_(pa.int64())), ("lows", pa.list_(pa.int64())), ("bits", pa.binary())]
-    )
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def set_digests(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, digest`` of every row; the digest of an empty set is null."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
         for part, shingles, bounds in _batches(batches):
-            at = np.searchsorted(common, shingles)
-            late = np.zeros(len(shingles), bool)
-            if len(common):
-                late = common[np.minimum(at, len(common) - 1)] == shingles
-            mixed = [wa.mix(shingles ^ seed) for seed in _SEEDS[:ROUNDS]]
-            digests, prefixes, lows, bits = [], [], [], []
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                if a == b:
-                    for column in (digests, prefixes, lows, bits):
-                        column.append(None)
-                    continue
-                own, size = shingles[a:b], b - a
-                length = size - -(-4 * size // 5) + 1
-                rare = own[~late[a:b]]
-                if len(rare) < length:
-                    rare = np.concatenate([rare, own[late[a:b]]])
-                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                prefixes.append(rare[:length].view(np.int64))
-                lows.append(np.array([m[a:b].min() for m in mixed], np.uint64).view(np.int64))
-                bits.append(tree.bitmap(own).tobytes())
+            digests = [_digest(shingles[a:b]) if a < b else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(digests, pa.binary())],
+                schema=schema,
+            )
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id bigint, n_shingles bigint, digest binary"
+    )
+
+
+def of_classes(docs: DataFrame, wanted: DataFrame, make, fields: str) -> DataFrame:
+    """What ``make`` gives for the set of each class in ``wanted`` (``doc_id, digest`` and more, which are kept).
+
+    Sets are computed anew from the texts, which costs less than storing them all. Rows that repeat an id and
+    its text give their class more than once.
+    """
+    if wanted.count() <= BROADCAST_CLASSES:
+        wanted = F.broadcast(wanted)
+    keep = [c for c in wanted.columns if c not in ("doc_id", "digest")]
+    out = ", ".join([f"{c} {wanted.schema[c].dataType.simpleString()}" for c in keep] + [fields])
+    schema = to_arrow_schema(StructType.fromDDL(out))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, shingles, bounds in _batches(batches):
+            sets = [shingles[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            # an id may stand for several texts
+            own = [i for i, d in enumerate(part.column("digest").to_pylist()) if len(sets[i]) and _digest(sets[i]) == d]
+            made = [make(sets[i]) for i in own]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("doc_id").cast(pa.int64()),
-                    pa.array(np.diff(bounds)),
-                    *(pa.array(v, f.type) for v, f in zip((digests, prefixes, lows, bits), list(schema)[2:])),
+                    *(part.column(c).cast(schema.field(c).type).take(pa.array(own, pa.int64())) for c in keep),
+                    *(pa.array([m[k] for m in made], f.type) for k, f in enumerate(list(schema)[len(keep) :])),
                 ],
                 schema=schema,
             )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, out)
+    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id")
+    return found.select("text", "digest", *keep).mapInArrow(run, out)
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, shingles`` of the wanted classes (``node, doc_id, digest``), computed anew from their texts."""
-    ids = wanted.select("doc_id").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    schema = pa.schema([("digest", pa.binary()), ("shingles", pa.binary())])
+def class_features(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """``node, n, prefix, lows, bits`` of every class: size, first shingles, minimum hashes and bitmap."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, shingles, bounds in _batches(batches):
-            sets = [shingles[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            digests = [hashlib.blake2b(own, digest_size=16).digest() for own in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], schema=schema)
+    def make(own: np.ndarray) -> tuple:
+        common, length = shared.value, len(own) - -(-4 * len(own) // 5) + 1
+        late = np.zeros(len(own), bool)
+        if len(common):
+            late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
+        rare = own[~late]
+        first = rare if len(rare) >= length else np.concatenate([rare, own[late]])
+        lows = np.array([wa.mix(own ^ seed).min() for seed in _SEEDS[:ROUNDS]], np.uint64)
+        return len(own), first[:length].view(np.int64), lows.view(np.int64), tree.bitmap(own).tobytes()
 
-    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    made = found.select("text").mapInArrow(run, "digest binary, shingles binary")
-    # rows that repeat an id with its text give the same set again
-    return cut_lineage(made.join(wanted.select("node", "digest"), "digest").select("node", "shingles"))
+    return of_classes(docs, classes, make, "n bigint, prefix array<bigint>, lows array<bigint>, bits binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -194,7 +201,7 @@ def _link_bundle(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
     for numbers, words in _blocks(batches, ["round", "low", "block"]):
         nodes, sets = numbers["node"].tolist(), words["shingles"]
         group = np.arange(len(nodes))
-        root = tree.build(numbers["n"], words["bits"])
+        root = tree.build(np.array([len(x) for x in sets]), [tree.bitmap(x) for x in sets])
         for left, right, _ in tree.pairs(root, root, group):
             for i, j in zip(left.tolist(), right.tolist()):
                 if group[i] != group[j] and similar(sets[i], sets[j]):
@@ -260,26 +267,61 @@ def _placed(root: tree.Node, chosen: np.ndarray) -> tree.Node:
     return root
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The links among the pairs."""
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    return of_classes(docs, wanted, lambda own: (own.tobytes(),), "shingles binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            left, right = batch.column("left"), batch.column("right")
-            kept = [
-                (a[i], b[i])
-                for i in range(batch.num_rows)
-                if similar(*(np.frombuffer(side[i].as_buffer(), np.uint64) for side in (left, right)))
-            ]
-            yield pa.RecordBatch.from_arrays(_edges(kept), schema=_EDGE_SCHEMA)
-
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = class_sets(docs, classes.join(ends, "node", "left_semi"))
-    sided = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b"
+
+def _check_bundle(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links among the pairs (``node, partners``) of some groups."""
+    sets: dict[int, np.ndarray] = {}
+    partners: dict[int, list[int]] = {}
+    for batch in batches:
+        for node, others, shingles in zip(*(batch.column(c) for c in ("node", "partners", "shingles"))):
+            sets[node.as_py()] = np.frombuffer(shingles.as_buffer(), np.uint64)
+            partners[node.as_py()] = others.as_py() or []
+    kept = [(a, b) for a, others in partners.items() for b in others if similar(sets[a], sets[b])]
+    yield pa.RecordBatch.from_arrays(_edges(kept), schema=_EDGE_SCHEMA)
+
+
+def _check_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        left, right = batch.column("left"), batch.column("right")
+        kept = [
+            (a[i], b[i])
+            for i in range(batch.num_rows)
+            if similar(*(np.frombuffer(side[i].as_buffer(), np.uint64) for side in (left, right)))
+        ]
+        yield pa.RecordBatch.from_arrays(_edges(kept), schema=_EDGE_SCHEMA)
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The links among the pairs. Each set is sent once to its group of connected pairs; pairs of groups too large
+    for one call are joined with their sets one by one."""
+    groups = cut_lineage(components(pairs))
+    small = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") <= BLOCK)
+    inside = groups.join(small, "component", "left").select("node", F.when(F.col("size").isNotNull(), F.col("component")).alias("component"))
+    few = inside.where(F.col("component").isNotNull())
+    # within such a group, so BLOCK at most
+    partners = (
+        pairs.withColumnRenamed("a", "node").join(few.select("node"), "node", "left_semi")
+        .groupBy("node").agg(F.collect_list("b").alias("partners"))
     )
-    return sided.select("a", "b", "left", "right").mapInArrow(run, _EDGES).distinct()
+    grouped = few.join(partners, "node", "left").join(classes, "node")
+    grouped = cut_lineage(grouped)
+    checked = (
+        _sets(docs, grouped)
+        .groupBy(_bundle(["component"], 4 * grouped.count()))
+        .applyInArrow(_check_bundle, _EDGES)
+    )
+    large = cut_lineage(inside.where(F.col("component").isNull()).select("node").join(classes, "node"))
+    if large.limit(1).count():
+        sets = cut_lineage(_sets(docs, large))
+        sided = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(
+            sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b"
+        )
+        checked = checked.unionByName(sided.select("a", "b", "left", "right").mapInArrow(_check_pairs, _EDGES))
+    return checked.distinct()
 
 
 def _bundle(keys: list[str], rows: int) -> F.Column:
@@ -325,28 +367,36 @@ def _cell_candidates(cells: DataFrame, bits: DataFrame, labels: DataFrame, best_
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Row features, and ``digest, component_id`` of every class."""
     narrow = docs.select("doc_id", "text")
-    rows = cut_lineage(features(narrow, frequent_shingles(narrow))).withColumn("node", F.monotonically_increasing_id())
-    full = rows.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
+    rows = cut_lineage(set_digests(narrow)).withColumn("node", F.monotonically_increasing_id())
     classes = cut_lineage(
-        full.groupBy("digest").agg(F.min(F.struct("doc_id", "node")).alias("first")).select(
-            "digest", F.col("first.doc_id").alias("doc_id"), F.col("first.node").alias("node")
-        )
+        rows.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
+        .groupBy("digest")
+        .agg(F.min(F.struct("doc_id", "node")).alias("first"))
+        .select("digest", F.col("first.doc_id").alias("doc_id"), F.col("first.node").alias("node"))
     )
-    leading = full.join(classes.select("node"), "node", "left_semi")
-    bits = leading.select("node", F.col("n_shingles").alias("n"), "bits")
+    leading = cut_lineage(class_features(narrow, classes, frequent_shingles(narrow)))
     sharing = Window.partitionBy("shingle")
-    cells = cut_lineage(
+    cells = (
         leading.select("node", F.explode("prefix").alias("shingle"))
         .select("node", F.min("node").over(sharing).alias("cell"), F.max("node").over(sharing).alias("last"))
         .where(F.col("cell") < F.col("last"))
         .select("cell", "node")
         .distinct()
     )
-    blocks = cut_lineage(_first_blocks(leading.select("node", F.posexplode("lows").alias("round", "low"))))
-    sets = class_sets(narrow, classes.join(blocks.select("node").distinct(), "node", "left_semi"))
+    # members without any other of a size that allows a link leave their cell
+    by_size = Window.partitionBy("cell").orderBy("n", "node")
+    near = (4 * F.col("n") <= 5 * F.lag("n").over(by_size)) | (4 * F.lead("n").over(by_size) <= 5 * F.col("n"))
+    cells = cut_lineage(
+        cells.join(leading.select("node", "n"), "node").withColumn("near", near).where("near").select("cell", "node")
+    )
+    bits = leading.select("node", "n", "bits")
+    lows = leading.select("node", F.posexplode("lows").alias("round", "low"))
+    blocks = _first_blocks(lows).groupBy("node").agg(F.collect_list(F.struct("round", "low", "block")).alias("places"))
+    placed = cut_lineage(classes.join(blocks, "node"))
     edges = cut_lineage(
-        blocks.join(sets.join(bits, "node"), "node")
-        .groupBy(_bundle(["round", "low", "block"], 4 * blocks.count()))
+        _sets(narrow, placed)
+        .select("node", "shingles", F.inline("places"))
+        .groupBy(_bundle(["round", "low", "block"], 4 * placed.count()))
         .applyInArrow(_link_bundle, _EDGES)
         .distinct()
     )
