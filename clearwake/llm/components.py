@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from clearwake.session import cut_lineage
 
+#: Edges of one partition; fewer are worked on in one task, without any shuffle.
+PART_EDGES = 200_000
 
-def _nearest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both directions of the edges, and each node's smallest neighbour or itself."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-    return both, least
+
+def _pairs(*pairs: tuple[str, str]) -> F.Column:
+    return F.inline(F.array(*(F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in pairs)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,20 +26,21 @@ def components(edges: DataFrame) -> DataFrame:
     ).distinct())
     seen = None
     while True:
-        state = current.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
-        if seen == tuple(state) or not state[0]:
+        state = tuple(current.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
+        # a table of one partition is grouped and joined where it lies
+        current = current.coalesce(-(-max(1, state[0]) // PART_EDGES))
+        if seen == state or not state[0]:
             break
-        seen = tuple(state)
-        both, least = _nearest(current)
+        seen = state
+        both = current.select(_pairs(("a", "b"), ("b", "a")))
+        least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         large = large.where(F.col("a") != F.col("b")).distinct()
         # every edge leads from a node to a smaller one
         lowest = large.groupBy("a").agg(F.min("b").alias("least"))
-        small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(
-            lowest.select("a", F.col("least").alias("b"))
-        )
+        small = large.join(lowest, "a").select(_pairs(("b", "least"), ("a", "least")))
         current = cut_lineage(small.where(F.col("a") != F.col("b")).distinct())
-    roots = current.select(F.col("b").alias("node")).distinct()
-    return current.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(
-        roots.select("node", F.col("node").alias("component")).join(current.select(F.col("a").alias("node")), "node", "left_anti")
+    # each node has one edge now, to its component's name
+    return current.select(_pairs(("a", "b"), ("b", "b"))).distinct().select(
+        F.col("a").alias("node"), F.col("b").alias("component")
     )

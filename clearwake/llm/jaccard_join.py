@@ -404,9 +404,14 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for best_only in (True, False):
         found = cut_lineage(_cell_candidates(cells, bits, labels, best_only))
         pairs = cut_lineage(found.where(F.col("cell").isNull()).select("a", "b").distinct())
-        edges = cut_lineage(edges.unionByName(_verify(narrow, pairs, classes)).distinct())
-        labels = components(edges)
-        cells = cells.join(found.where(F.col("cell").isNotNull()).select("cell").distinct(), "cell", "left_semi")
+        more = cut_lineage(_verify(narrow, pairs, classes))
+        if more.limit(1).count():
+            edges = cut_lineage(edges.unionByName(more).distinct())
+            labels = components(edges)
+        fuller = found.where(F.col("cell").isNotNull()).select("cell").distinct()
+        if not fuller.limit(1).count():
+            break
+        cells = cells.join(fuller, "cell", "left_semi")
     named = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows, cut_lineage(named.join(smallest, "component").select("digest", "component_id"))
