@@ -145,9 +145,9 @@ class Packer:
     def place(self, piece: tuple) -> None:
         size = len(piece[2])
         level, room = self.level, self.window - size
-        # change of the sum of squares, halved and without the common 1: joining a window at each fill, or a new one
-        gain = level[size:].copy()
-        gain[1:] -= level[1 : room + 1] - 1
+        # change of the sum of squares, less 1: by a new window, or by one of each fill that moves up
+        gain = 2 * level[size:]
+        gain[1:] += 1 - 2 * level[1 : room + 1]
         gain[room] -= 1  # a window that gets full leaves the count
         gain[1:][level[1 : room + 1] == 0] = np.iinfo(np.int64).max
         # of equal gains the fullest window
