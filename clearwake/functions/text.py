@@ -29,7 +29,6 @@ WHITE_SPACE = (
 )
 
 CONTENT_CHARS = 5_000
-EXTRACTOR_CHARS = 100_000
 
 # One pass, leftmost first: a script or style element with its content, a comment, any tag.
 # An unclosed one runs to the end of the text. ``>`` inside a quoted attribute value does not

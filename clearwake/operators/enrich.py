@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from clearwake.functions.packets import parse_packet_with_meta
 from clearwake.functions.risk import label_to_score, risk_label, risk_score
 from clearwake.functions.staging import pin
-from clearwake.functions.text import CONTENT_CHARS, RISK_KEYWORDS, truncate
+from clearwake.functions.text import RISK_KEYWORDS, truncate
 from clearwake.operators.entities import Extractor, blank_extractor
 
 # The version stamps used when a caller gives none.
@@ -93,13 +93,13 @@ def enrich_text(
     strategy: str = "rules",
     model=None,
     text: str = "text",
-    content_chars: int = CONTENT_CHARS,
+    content_chars: int | None = None,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Rows with a ``text`` to index rows. Scores the whole text, stores its start."""
     scored = score(extractor(df, text), strategy, model, text)
     stamped = stamp(scored, schema_version, model_version, now)
-    out = stamped.withColumn("content", truncate(text, content_chars)).withColumn(
+    out = stamped.withColumn("content", truncate(text, content_chars) if content_chars else F.col(text) if isinstance(text, str) else text).withColumn(
         "entity_count", F.size("entities")
     )
     for meta in ("traceparent", "source_url"):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clearwake.functions.staging import pin
-from clearwake.functions.text import EXTRACTOR_CHARS, truncate
+from clearwake.functions.text import truncate
 from clearwake.schemas import ENTITIES
 from clearwake.session import broadcast_if_small
 
@@ -34,7 +34,7 @@ def blank_extractor(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def gazetteer_extractor(
-    phrases: Sequence[tuple[str, str]], chars: int | None = EXTRACTOR_CHARS
+    phrases: Sequence[tuple[str, str]], chars: int | None = None
 ) -> Extractor:
     """Longest match first, left to right, case-sensitive, whole words; duplicates are kept.
 
@@ -68,7 +68,7 @@ def gazetteer_join(
     key: str,
     text: str = "text",
     max_words: int = 4,
-    chars: int | None = EXTRACTOR_CHARS,
+    chars: int | None = None,
 ) -> DataFrame:
     """Same matches from a dictionary table ``(phrase, type)`` of any size.
 
@@ -146,7 +146,7 @@ def gazetteer_join(
 
 
 def model_extractor(
-    load: Callable[[], Callable[[str], list[tuple[str, str]]]], chars: int | None = EXTRACTOR_CHARS
+    load: Callable[[], Callable[[str], list[tuple[str, str]]]], chars: int | None = None
 ) -> Extractor:
     """Plug point for a user's own recogniser; ``load`` runs once per Python worker task.
 

@@ -72,7 +72,7 @@ _KINDS = "CASE w " + " ".join(f"WHEN '{w}' THEN '{t}'" for w, t in GAZETTEER) +
 DOC_ENTITIES = f"""
 found AS (
   SELECT doc_id, text, lang, source,
-         list_filter(regexp_extract_all(substr(text, 1, 100000), '[\\p{{L}}\\p{{N}}_]+'),
+         list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'),
                      lambda w: list_contains([{_quoted(w for w, _ in GAZETTEER)}], w)) AS words
   FROM seeded),
 scored AS (
@@ -118,7 +118,7 @@ def indexed_docs(spark: SparkSession, sf_dir: str, model_version: str = "risk-ru
 
 INDEXED = f"""{SEEDED},{DOC_ENTITIES},
 indexed AS (
-  SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, substr(text, 1, 5000) AS content, words, entities, entity_count,
+  SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, text AS content, words, entities, entity_count,
          risk_score, risk_label, source AS source_url, 'v1' AS schema_version,
          TIMESTAMP '{EPOCH}' + to_minutes(doc_id) AS ts
   FROM enriched)"""

@@ -81,7 +81,7 @@ def sanitize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stream_enrich",
     f"""WITH {PACKETS}
-SELECT conv_id * 100 + turn AS id, 'ok' AS branch, md5(substr(found_text, 1, 5000)) AS payload_md5, source_url, CAST(NULL AS VARCHAR) AS error
+SELECT conv_id * 100 + turn AS id, 'ok' AS branch, md5(found_text) AS payload_md5, source_url, CAST(NULL AS VARCHAR) AS error
 FROM parsed_packets WHERE quarantine IS NULL
 UNION ALL SELECT NULL, 'dlq', md5(value), source_url, quarantine FROM parsed_packets WHERE quarantine IS NOT NULL""",
 )

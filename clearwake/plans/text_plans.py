@@ -226,7 +226,7 @@ hits AS (SELECT page_id, clean AS text, source_url, traceparent FROM classified
 SELECT page_id, 10 * ({HITS}) AS risk_score,
        CASE WHEN 10 * ({HITS}) >= 50 THEN 'CRITICAL' WHEN 10 * ({HITS}) >= 20 THEN 'HIGH'
             WHEN 10 * ({HITS}) > 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk_label,
-       md5(substr(text, 1, 5000)) AS content_md5, source_url, traceparent FROM hits""",
+       md5(text) AS content_md5, source_url, traceparent FROM hits""",
 )
 def enrich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both stages in one plan: raw packet to index row without a shuffle."""

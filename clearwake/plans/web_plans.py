@@ -54,8 +54,8 @@ def varied_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == 1, F.concat(F.lit("https://other.example.org"), href))
         .when(kind == 2, F.concat(F.lit("//cdn.example.net"), href))
         .when(kind == 3, F.concat(F.lit("?q="), F.col("position").cast("string")))
-        .when(kind == 4, F.concat(F.lit("dir/./a/../"), F.substring(href, 2, 1000)))
-        .when(kind == 5, F.concat(F.lit("#"), F.substring(href, 2, 1000)))
+        .when(kind == 4, F.concat(F.lit("dir/./a/../"), F.substr(href, F.lit(2))))
+        .when(kind == 5, F.concat(F.lit("#"), F.substr(href, F.lit(2))))
         .when(kind == 6, F.lit("javascript:void(0)"))
         .when(kind == 7, F.lit("mailto:a@b.example"))
         .when(kind == 8, F.concat(href, F.lit(".PNG?x=1")))
