@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from clearwake.functions.staging import pin
 from clearwake.functions.text import col_of
 
-# A VARIANT holds at most 16 MiB. Longer packets are read a second time with a fixed schema,
+# A VARIANT holds at most 16 MiB. Longer packets are read a second time with fixed schemas,
 # starting well below the limit because a variant can be longer than its JSON text.
 _OVERSIZE_BYTES = 4 * 1024 * 1024
 _STRICT_JSON = {
     "mode": "PERMISSIVE",
     "columnNameOfCorruptRecord": "_corrupt",
     "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
     "maxStringLen": str(2**31 - 1),
 }
 
@@ -52,22 +53,54 @@ def string_field(doc: Column, field: str) -> Column:
     return F.when(_type_of(doc, field) == "STRING", F.try_variant_get(doc, f"$.{field}", "string"))
 
 
-def _with_document(df: DataFrame, value: str, fields: tuple[str, ...]) -> DataFrame:
-    """Adds ``_doc`` (VARIANT), ``_big`` (struct of strings, oversize packets only), ``_json``."""
-    schema = ", ".join(f"{f} STRING" for f in fields) + ", _corrupt STRING"
+#: The kinds of value other than strings. Read as one kind, a field of any other kind is null.
+_KINDS = {"number": "DOUBLE", "flag": "BOOLEAN", "list": "ARRAY<STRING>", "object": "MAP<STRING,STRING>"}
+
+
+def _big_fields(raw: Column, fields: tuple[str, ...]) -> Column:
+    """Per field of an oversize object: ``text`` (null for JSON null), ``is_text``, and ``empty`` for a
+    non-string value that is zero, false or has no elements."""
+
+    def read(kind: str) -> Column:
+        return F.from_json(raw, ", ".join(f"{f} {kind}" for f in fields), _STRICT_JSON)
+
+    def field(name: str, text: Column, *others: Column) -> Column:
+        number, flag, listed, mapped = (o.getField(name) for o in others)
+        other = number.isNotNull() | flag.isNotNull() | listed.isNotNull() | mapped.isNotNull()
+        empty = (number == 0.0, ~flag, F.size(listed) == 0, F.size(mapped) == 0)
+        return F.struct(
+            text.getField(name).alias("text"),
+            (text.getField(name).isNotNull() & ~other).alias("is_text"),
+            reduce(or_, (F.coalesce(e, F.lit(False)) for e in empty)).alias("empty"),
+        ).alias(name)
+
+    parsed = [read(kind) for kind in ("STRING", *_KINDS.values())]
+    return F.struct(*(field(f, *parsed) for f in fields))
+
+
+def with_document(df: DataFrame, value: str, fields: tuple[str, ...]) -> DataFrame:
+    """Adds ``_doc`` (VARIANT), ``_big`` (the ``fields`` of an oversize object) and ``_json``, whether it is JSON."""
     raw = F.col(value)
     doc = df.withColumn("_doc", strict_json(raw))
     oversize = F.col("_doc").isNull() & (F.octet_length(raw) > _OVERSIZE_BYTES)
     whole = (F.json_array_length(_in_array(raw)) == 1) & _one_object_member(raw)
-    doc = doc.withColumn("_big", F.when(oversize & whole, F.from_json(raw, schema, _STRICT_JSON)))
-    big_ok = F.col("_big").isNotNull() & F.col("_big._corrupt").isNull()
-    return doc.withColumn("_big", F.when(big_ok, F.col("_big"))).withColumn(
-        "_json", F.col("_doc").isNotNull() | F.col("_big").isNotNull()
+    # a value of any kind is read here as a member, which finds faults in all of it
+    member = F.from_json(F.concat(F.lit('{"v":'), raw, F.lit("}")), "v STRING, _corrupt STRING", _STRICT_JSON)
+    big = F.coalesce(oversize & whole & member.getField("_corrupt").isNull(), F.lit(False))
+    doc = doc.withColumn("_big_json", big)
+    is_object = F.col("_big_json") & F.json_object_keys(raw).isNotNull()
+    return (
+        doc.withColumn("_big", F.when(is_object, _big_fields(raw, fields)))
+        .withColumn("_json", F.col("_doc").isNotNull() | F.col("_big_json"))
+        .drop("_big_json")
     )
 
 
-def _text_field(field: str) -> Column:
-    return F.coalesce(string_field(F.col("_doc"), field), F.col(f"_big.{field}"))
+def text_field(field: str) -> Column:
+    """A string field of what ``with_document`` read, else null."""
+    return F.coalesce(
+        string_field(F.col("_doc"), field), F.when(F.col(f"_big.{field}.is_text"), F.col(f"_big.{field}.text"))
+    )
 
 
 def parse_raw_packet(df: DataFrame, value: str = "value") -> DataFrame:
@@ -77,13 +110,13 @@ def parse_raw_packet(df: DataFrame, value: str = "value") -> DataFrame:
     *string* ``raw_html``: the whole value again, but not a fallback.
     """
     fields = ("raw_html", "traceparent", "source_url", "collected_at")
-    parsed = _with_document(df, value, fields)
+    parsed = with_document(df, value, fields)
     read = parsed.withColumns(
         {
-            "html": F.coalesce(_text_field("raw_html"), F.col(value)),
-            "traceparent": _text_field("traceparent"),
-            "source_url": _text_field("source_url"),
-            "collected_at": _text_field("collected_at"),
+            "html": F.coalesce(text_field("raw_html"), F.col(value)),
+            "traceparent": text_field("traceparent"),
+            "source_url": text_field("source_url"),
+            "collected_at": text_field("collected_at"),
             "parse_fallback": ~F.col("_json"),
         }
     )
@@ -109,11 +142,14 @@ def parse_packet_with_meta(df: DataFrame, value: str = "value") -> DataFrame:
     is not an object, or a ``text`` that is neither a string nor empty, has no text:
     ``quarantine`` holds the reason.
     """
-    parsed = _with_document(df, value, ("text", "traceparent", "source_url"))
+    parsed = with_document(df, value, ("text", "traceparent", "source_url"))
     doc, raw = F.col("_doc"), F.col(value)
     is_object = F.col("_big").isNotNull() | F.schema_of_variant(doc).startswith("OBJECT")
-    text = F.nullif(_text_field("text"), F.lit(""))
-    bad_text = F.coalesce((_type_of(doc, "text") != "STRING") & ~_empty_json_value(doc), F.lit(False))
+    text = F.nullif(text_field("text"), F.lit(""))
+    big = F.col("_big.text")
+    bad_small = (_type_of(doc, "text") != "STRING") & ~_empty_json_value(doc)
+    bad_big = big["text"].isNotNull() & ~big["is_text"] & ~big["empty"]
+    bad_text = F.coalesce(bad_small, bad_big, F.lit(False))
     reason = F.when(F.col("_json") & ~is_object, "non_object_json").when(
         F.col("_json") & bad_text, "non_string_text"
     )
@@ -121,8 +157,8 @@ def parse_packet_with_meta(df: DataFrame, value: str = "value") -> DataFrame:
     read = judged.withColumns(
         {
             "text": F.when(F.col("quarantine").isNull(), F.coalesce(text, raw)),
-            "traceparent": _text_field("traceparent"),
-            "source_url": _text_field("source_url"),
+            "traceparent": text_field("traceparent"),
+            "source_url": text_field("source_url"),
             "fallback": ~F.col("_json"),
         }
     )

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clearwake.functions.packets import strict_json, string_field
+from clearwake.functions.packets import text_field, with_document
 from clearwake.schemas import DLQ
 
 REPLAY_COUNT = 50
@@ -53,9 +53,9 @@ def parse_dlq(df: DataFrame, stage: str | None, value: str = "value", keep: tupl
     Without a ``stage`` the column of that name is used.
     """
     names = ("error", "payload", "raw_payload", "failed_queue", "failed_at", "traceparent", "source_url")
-    doc = df.withColumn("_doc", strict_json(value))
+    doc = with_document(df, value, names)
     held = keep if stage is not None else (*keep, "stage")
-    fields = doc.select(*held, *(string_field(F.col("_doc"), n).alias(n) for n in names))
+    fields = doc.select(*held, *(text_field(n).alias(n) for n in names))
     return _aligned(fields.withColumn("failed_at", F.try_to_timestamp("failed_at")), stage, keep)
 
 

@@ -210,10 +210,20 @@ FAMILIES = {"compose": _compose, "kubernetes": _kubernetes, "terraform": _terraf
 def policy_scan(manifests: DataFrame, family: str, body: str = "body", key: str = "doc_id") -> DataFrame:
     """Violations of one family's rules: ``key, severity, rule, subject, message``.
 
-    ``body`` is JSON text, or a VARIANT. A document that is not JSON has no violations.
+    ``body`` is JSON text, or a VARIANT. A document that can't be read (null, not JSON, or beyond the size of a VARIANT)
+    can't be cleared either: it has the one violation ``unreadable``.
     """
     rules = FAMILIES[family]
     parsed = F.col(body) if manifests.schema[body].dataType.typeName() == "variant" else strict_json(body)
-    docs = manifests.select(F.col(key), parsed.alias("_doc")).where("_doc IS NOT NULL")
+    docs = manifests.select(F.col(key), parsed.alias("_doc"))
     found = reduce(lambda a, b: F.concat(a, b), rules(F.col("_doc")))
+    unreadable = F.array(
+        F.struct(
+            F.lit("deny").alias("severity"),
+            F.lit("unreadable").alias("rule"),
+            F.lit(None).cast("string").alias("subject"),
+            F.lit("manifest cannot be read").alias("message"),
+        )
+    )
+    found = F.when(F.col("_doc").isNull(), unreadable).otherwise(found)
     return docs.select(key, F.inline(F.array_distinct(found)))

@@ -235,6 +235,7 @@ def test_compose_rules(spark):
         (6, "deny", "gateway_port", "gateway"),
         (8, "deny", "healthcheck", "redis"),
         (8, "deny", "restart_policy", "redis"),
+        (9, "deny", "unreadable", None),
     ]
 
 

@@ -124,6 +124,58 @@ def test_packets_beyond_the_variant_limit(spark):
     assert tuple(text) == (20_000_000, False, None)
 
 
+def _filled(spark, shapes, chars):
+    """Each shape with ``@`` replaced by so many characters, as a stored table."""
+    rows = spark.createDataFrame(list(enumerate(shapes)), "id long, shape string")
+    filler = F.repeat(F.lit("abcdefghij"), F.lit(chars // 10))
+    return cut_lineage(rows.select("id", F.replace("shape", F.lit("@"), filler).alias("value")))
+
+
+SIZED = [
+    '{"raw_html":5,"text":5,"pad":"@"}',
+    '{"raw_html":"5","text":"5","pad":"@"}',
+    '{"raw_html":"NaN","text":"NaN","pad":"@"}',
+    '{"raw_html":true,"text":true,"pad":"@"}',
+    '{"raw_html":[1],"text":["x"],"pad":"@"}',
+    '{"raw_html":{"a":1},"text":{"a":1},"pad":"@"}',
+    '{"raw_html":null,"text":null,"pad":"@"}',
+    '{"raw_html":"","text":"","pad":"@"}',
+    '{"text":0,"pad":"@"}',
+    '{"text":false,"pad":"@"}',
+    '{"text":[],"pad":"@"}',
+    '{"text":{},"pad":"@"}',
+    '{"pad":"@","source_url":"u"}',
+    '["@"]',
+    '"@"',
+    '{"text":"x","pad":"@"} more',
+    "{'text':'x','pad':'@'}",
+    "@",
+]
+
+
+def test_size_changes_no_rule(spark):
+    """The same packets at 100,000 and 20,000,000 characters."""
+
+    def outcomes(chars):
+        df = _filled(spark, SIZED, chars)
+        same_html, same_text = F.col("html") == F.col("value"), F.col("text") == F.col("value")
+        raw = parse_raw_packet(df).select("id", F.when(same_html, "whole").otherwise(F.col("html")), "source_url", "parse_fallback")
+        clean = parse_packet_with_meta(df).select(
+            "id", F.when(same_text, "whole").otherwise(F.col("text")), "source_url", "fallback", "quarantine"
+        )
+        return sorted(map(tuple, raw.collect())), sorted(map(tuple, clean.collect()))
+
+    small, big = outcomes(100_000), outcomes(20_000_000)
+    assert big == small
+    assert small[1][0][1:] == (None, None, False, "non_string_text")
+
+
+def test_big_dead_letters(spark):
+    df = _filled(spark, ['{"error":"e","payload":"@","failed_at":"2024-01-01T00:00:00Z"}', '{"error":5,"raw_payload":"@"}'], 20_000_000)
+    rows = parse_dlq(df, "collector", keep=("id",)).select("id", "error", F.length("payload"), F.col("failed_at").isNotNull())
+    assert sorted(map(tuple, rows.collect())) == [(0, "e", 20_000_000, True), (1, None, 20_000_000, False)]
+
+
 def test_packet_round_trip(spark):
     row = spark.createDataFrame([("<b>x</b>", "u", "2024-01-01T00:00:00Z", None)], "raw_html string, source_url string, collected_at string, traceparent string")
     back = parse_raw_packet(row.select(to_raw_json().alias("value"))).first()
