@@ -29,12 +29,15 @@ def write_exposition(lines: DataFrame, path: str) -> None:
     lines.orderBy("metric").coalesce(1).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write a micro-batch so that repeating it replaces its own rows and no others."""
+def write_batch(df: DataFrame, path: str, run: str, batch_id: int) -> None:
+    """Write a micro-batch so that repeating it replaces its own rows and no others.
+
+    ``run`` names the stream: numbers of batches start anew with each checkpoint.
+    """
     (
-        df.withColumn("batch_id", F.lit(batch_id))
+        df.withColumns({"run": F.lit(f"run-{run}"), "batch_id": F.lit(batch_id)})
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
+        .partitionBy("run", "batch_id")
         .parquet(path)
     )

@@ -1,7 +1,8 @@
 """The operators as Structured Streaming jobs.
 
 Each stage uses the batch functions unchanged. Delivery is at least once; a repeated micro-batch
-replaces its own output, so results do not change when a job is stopped and restarted.
+replaces its own output, so results do not change when a job is stopped and restarted. A new checkpoint is a new run,
+which adds to the output of others: packets it reads again are stored again.
 """
 
 from __future__ import annotations
@@ -24,6 +25,11 @@ def _batches(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, in
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
 
 
+def _run(batch: DataFrame) -> str:
+    """The id of the stream a micro-batch is from. It is kept in the checkpoint, so it outlives restarts."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
 def stream_sanitize(
     raw: DataFrame, out: str, dlq: str, checkpoint: str, min_bytes: int = MIN_TEXT_BYTES, value: str = "value",
     keep: tuple[str, ...] = (),
@@ -34,8 +40,8 @@ def stream_sanitize(
         classified = classify_raw(batch, min_bytes, value).persist()
         try:
             parts = split(classified, value, keep)
-            write_batch(parts.ok, out, batch_id)
-            write_batch(normalise_dlq(parts.dlq, "sanitizer", keep), dlq, batch_id)
+            write_batch(parts.ok, out, _run(batch), batch_id)
+            write_batch(normalise_dlq(parts.dlq, "sanitizer", keep), dlq, _run(batch), batch_id)
         finally:
             classified.unpersist()
 
@@ -49,8 +55,8 @@ def stream_enrich(sanitized: DataFrame, out: str, dlq: str, checkpoint: str, **o
         stored = batch.persist()
         try:
             parts = enrich(stored, **options)
-            write_batch(parts.ok, out, batch_id)
-            write_batch(normalise_dlq(parts.dlq, "brain"), dlq, batch_id)
+            write_batch(parts.ok, out, _run(batch), batch_id)
+            write_batch(normalise_dlq(parts.dlq, "brain"), dlq, _run(batch), batch_id)
         finally:
             stored.unpersist()
 

@@ -152,7 +152,7 @@ def test_packet_files(spark):
 def test_repeated_batch_replaces_itself(spark):
     path = scratch_path(spark, "batches")
     for batch, values in ((0, [1, 2]), (1, [3]), (0, [1, 2])):
-        write_batch(spark.createDataFrame([(v,) for v in values], "v int"), path, batch)
+        write_batch(spark.createDataFrame([(v,) for v in values], "v int"), path, "a", batch)
     assert sorted(r["v"] for r in spark.read.parquet(path).collect()) == [1, 2, 3]
 
 

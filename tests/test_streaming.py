@@ -11,6 +11,7 @@ from clearwake.plans.stream_plans import drain, run_to_table
 from clearwake.session import scratch_path
 from clearwake.sources.readers import read_raw
 from clearwake.streaming.canary import _observe, stream_canary
+from clearwake.sources.writers import write_batch
 from clearwake.streaming.jobs import stream_dedupe, stream_enrich, stream_error_ratio, stream_latency, stream_sanitize
 from test_operations import VERDICTS
 from test_packets import RAW, SANITIZED
@@ -57,17 +58,28 @@ def test_sanitize_restarted_midway(spark):
     run([2, 3])
     run([])
     want = split(classify_raw(packets, 3), keep=("id",))
-    assert same(spark.read.parquet(out).drop("batch_id"), want.ok)
+    assert same(spark.read.parquet(out).drop("run", "batch_id"), want.ok)
     assert same(spark.read.parquet(dlq).select("id", "error", "payload"), want.dlq)
 
 
 def test_lost_progress_repeats_a_batch(spark):
     """A batch whose commit was lost is done again and replaces its own rows."""
-    source, out, dlq = (scratch_path(spark, n) for n in ("in", "out", "dlq"))
-    put(packet_frame(spark, [r[0] for r in RAW]), source)
-    for attempt in range(2):
-        drain(stream_sanitize(stream(spark, source, PACKET), out, dlq, scratch_path(spark, f"ckpt{attempt}"), 3, keep=("id",)))
-    assert spark.read.parquet(out).count() == sum(r[5] == "ok" for r in RAW)
+    out = scratch_path(spark, "out")
+    for values in ([1, 2, 3], [1, 2]):
+        write_batch(spark.createDataFrame([(v,) for v in values], "v int"), out, "one", 0)
+    write_batch(spark.createDataFrame([(9,)], "v int"), out, "two", 0)
+    assert sorted(r["v"] for r in spark.read.parquet(out).collect()) == [1, 2, 9]
+
+
+def test_new_checkpoint_keeps_older_output(spark):
+    """The batches of another run have the same numbers, but other rows."""
+    first, second, out, dlq = (scratch_path(spark, n) for n in ("first", "second", "out", "dlq"))
+    packets = packet_frame(spark, [r[0] for r in RAW])
+    for part, source in enumerate((first, second)):
+        put(packets.where(F.col("id") % 2 == part), source)
+        drain(stream_sanitize(stream(spark, source, PACKET), out, dlq, scratch_path(spark, f"ckpt{part}"), 3, keep=("id",)))
+    want = split(classify_raw(packets, 3), keep=("id",))
+    assert same(spark.read.parquet(out).drop("run", "batch_id"), want.ok)
 
 
 def test_enrich_equals_batch(spark):
@@ -78,7 +90,7 @@ def test_enrich_equals_batch(spark):
     options = {"id_column": "id", "model_version": "m", "now": T0}
     drain(stream_enrich(stream(spark, source, PACKET), out, dlq, scratch_path(spark, "ckpt"), **options))
     want = enrich(packets, **options)
-    assert same(spark.read.parquet(out).drop("batch_id"), want.ok)
+    assert same(spark.read.parquet(out).drop("run", "batch_id"), want.ok)
     assert same(spark.read.parquet(dlq).select("error", "payload"), want.dlq.select("error", "payload"))
 
 
