@@ -16,8 +16,10 @@ BLOCKED_PREFIXES = ("javascript:", "mailto:")
 BLOCKED_SUBSTRINGS = (".png", ".jpg", ".jpeg", ".gif", ".css", ".js", ".svg", ".woff", ".woff2")
 
 _QUOTED = r"(\"[^\"]*\"|'[^']*'|[^\s>]+)"
-_HREF = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*" + _QUOTED
-_BASE_HREF = r"(?is)<base\s(?:[^>]*?\s)?href\s*=\s*" + _QUOTED
+# Attributes before the one looked for; ``>`` inside a quoted value does not close the tag.
+_OTHERS = r"(?:[\s/=]*+(?!href\s*+=)[^\s>/=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+"
+_HREF = r"(?is)<a(?=[\s/])" + _OTHERS + r"[\s/=]*+href\s*+=\s*+" + _QUOTED
+_BASE_HREF = r"(?is)<base(?=[\s/])" + _OTHERS + r"[\s/=]*+href\s*+=\s*+" + _QUOTED
 _SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"
 _ORIGIN = r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)"
 _PATH = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)"

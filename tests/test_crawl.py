@@ -3,7 +3,7 @@
 import pytest
 
 from clearwake.functions.trace import make_traceparent, parse_traceparent, random_traceparent, valid_trace_id
-from clearwake.functions.urls import host_of, is_interesting_link, with_absolute
+from clearwake.functions.urls import host_of, hrefs, is_interesting_link, with_absolute
 from clearwake.operators.crawl import (
     allow_domains,
     crawl_snapshot,
@@ -186,3 +186,10 @@ def test_latency(spark):
     assert sorted(r["latency_s"] for r in found.collect()) == [10.0, 20.5]
     row = latency_p95(found, ["model"]).first()
     assert row["p95_s"] == pytest.approx(19.975) and row["within_objective"] is True
+
+
+def test_hrefs_behind_quoted_values(spark):
+    html = """<a title="x>y" href="/q">1</a><a title='href="/no"' data-href=/no href = '/r'>2</a><a title="t"href=/s>3</a>
+    <abbr href=/no>4</abbr><a\nclass=c\nHREF="/t">5</a><a name=x>6</a> href=/no <a x=1/href="/no">7</a>"""
+    rows = spark.createDataFrame([(html,)], "html string").select(hrefs("html").alias("found"))
+    assert rows.first()["found"] == ["/q", "/r", "/s", "/t"]
