@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from clearwake.functions.risk import FEATURES, featurize
 from clearwake.functions.text import enriched_text, word_tokens
@@ -55,7 +58,11 @@ class ForestModel:
         self.fitted = fitted
 
     def transform(self, df: DataFrame, text: str = "text") -> DataFrame:
-        return self.fitted.transform(with_features(df, text)).select(*df.columns, "ml_label")
+        """A row without text or entities has no label."""
+        inputs = with_features(df, text)
+        whole = reduce(and_, (F.col(c).isNotNull() for c in FEATURES))
+        filled = inputs.withColumn("_whole", whole).fillna(0, list(FEATURES))
+        return self.fitted.transform(filled).select(*df.columns, F.when(F.col("_whole"), F.col("ml_label")).alias("ml_label"))
 
     @property
     def feature_importances(self) -> dict[str, float]:
@@ -131,7 +138,7 @@ def term_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     words = df.select(key, text).repartition(key).select(key, word_tokens(text, 2).alias("word"))
     following = F.slice("word", F.lit(2), F.size("word")).alias("next")
-    pairs = words.where(F.size("word") > 0).select(key, F.inline(F.arrays_zip("word", following)).alias("word", "next"))
+    pairs = words.select(key, F.inline(F.arrays_zip("word", following)).alias("word", "next"))
     bigram = F.concat("word", F.lit(" "), "next")  # null after the last word
     return pairs.select(key, F.explode(F.array("word", bigram)).alias("term")).where("term IS NOT NULL")
 
@@ -181,10 +188,18 @@ def tfidf(df: DataFrame, key: str, text: str = "text", size: int = VOCABULARY) -
     return weigh(counts, vocab, key).select(key, "term", "weight")
 
 
-@F.udf(returnType=VectorUDT())
-def _sparse(size: int, entries):
-    """Pack (index, weight) pairs as an ML vector; Spark has no built-in for a sparse one."""
-    return SparseVector(size, [(e["i"], e["weight"]) for e in entries])
+_VECTOR = StructType([StructField("v", VectorUDT())])
+
+
+def _sparse(size: int, entries: Column) -> Column:
+    """Pack (index, weight) pairs, sorted by index, as a sparse ML vector."""
+    stored = F.struct(
+        F.lit(0).cast("tinyint").alias("type"),
+        F.lit(size).alias("size"),
+        F.transform(entries, lambda e: e["i"]).alias("indices"),
+        F.transform(entries, lambda e: e["weight"]).alias("values"),
+    )
+    return F.from_json(F.to_json(F.struct(stored.alias("v"))), _VECTOR)["v"]
 
 
 class TextModel:
@@ -194,9 +209,14 @@ class TextModel:
         self.vocab, self.size, self.classifier, self.labels = vocab, size, classifier, labels
 
     def transform(self, df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-        source = df.select(key, enriched_text(text, "entities").alias("_text"))
+        """Rows without a ``key`` column are told apart by their content; a null text has no label."""
+        if key not in df.columns:
+            content = F.when(F.col(text).isNotNull(), F.sha2(enriched_text(text, "entities"), 256))
+            return self.transform(df.withColumn(key, content), key, text).drop(key)
+        source = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, enriched_text(text, "entities").alias("_text"))
+        source = source.dropDuplicates([key])
         counts = term_counts(term_rows(source, key, "_text"), self.vocab, key)
-        rows = _vectors(df, weigh(counts, self.vocab, key), self.size, key)
+        rows = _vectors(source, weigh(counts, self.vocab, key), self.size, key)
         names = F.array(*(F.lit(name) for name in self.labels))
         scored = self.classifier.transform(rows)
         predicted = scored.select(
@@ -219,7 +239,7 @@ def _vectors(keys: DataFrame, weights: DataFrame, size: int, key: str) -> DataFr
     packed = weights.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("_e"))
     keyed = keys.select(key).join(packed, key, "left")
     empty = F.array().cast("array<struct<i:int,weight:double>>")
-    return keyed.select(key, _sparse(F.lit(size), F.coalesce("_e", empty)).alias("_features"))
+    return keyed.select(key, _sparse(size, F.coalesce("_e", empty)).alias("_features"))
 
 
 def train_text(

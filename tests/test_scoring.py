@@ -45,11 +45,11 @@ PACK = [
     ("one-2", "The admin desk moved to the second floor.", [], "MEDIUM"),
     ("one-3", "The yearly summary was read aloud.", [P, O], "MEDIUM"),
     ("more-1", "The admin login and a secret were leaked by a visitor.", [P], "HIGH"),
-    ("more-2", "A leaked password, a secret note and a spare key turned up.", [], "HIGH"),
+    ("more-2", "Found in the drawer: one key, a note marked secret, and a password that had leaked.", [], "HIGH"),
     ("more-3", "Login pages were copied in several towns.", [P, O, G], "HIGH"),
-    ("dense-1", "password admin login secret confidential leaked db_pass key", [], "CRITICAL"),
-    ("dense-2", "password admin secret leaked db_pass key on many sheets", [P, P, O, G], "CRITICAL"),
-    ("dense-3", "confidential password admin secret key login leaked db_pass", [O, P], "CRITICAL"),
+    ("dense-1", "Our db_pass leaked, so did a key; the admin keeps each login, password and secret confidential.", [], "CRITICAL"),
+    ("dense-2", "Sheets with a key, the db_pass and one secret: leaked by an admin who lost a password.", [P, P, O, G], "CRITICAL"),
+    ("dense-3", "A confidential memo listed a login, the db_pass, a leaked key, a secret and an admin password.", [O, P], "CRITICAL"),
 ]
 PACK_SCORES = [0, 0, 0, 10, 10, 10, 45, 40, 25, 80, 80, 90]
 
@@ -211,3 +211,14 @@ def test_text_model(spark):
     again = load_text_model(spark, path).transform(cases)
     assert again.select("id", "ml_label", "confidence").exceptAll(predicted.select("id", "ml_label", "confidence")).count() == 0
     assert load_text_model(spark, path + "-missing") is None
+
+
+def test_models_leave_null_texts_to_the_rules(spark):
+    cases = pack(spark, 3)
+    rows = cases.drop("id").limit(3).unionByName(
+        spark.createDataFrame([("none", None, [], "LOW")], CASES)
+    )
+    for model in (train_forest(cases), train_text(cases)):
+        found = {r["name"]: r["risk_label"] for r in score(rows, "ml", model).collect()}
+        assert len(found) == 4
+        assert found["none"] == score(rows).where("name = 'none'").first()["risk_label"]
