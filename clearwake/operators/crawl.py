@@ -88,7 +88,7 @@ def crawl_snapshot(
     A page is visited at its smallest depth, in (depth, url) order, until the budget is spent.
     Links to pages that are not stored are failed fetches: they spend no budget. Page content is
     read twice in all: once for a narrow link table, once for the visited pages. Each depth joins
-    narrow tables and is stored, so the plan does not grow with the depth.
+    narrow tables and is stored; what was reached before is one more stored table per depth.
     """
     budget = page_limit(max_pages)
     known = pages.select("url").distinct()

@@ -111,8 +111,8 @@ def enrich_text(
 def enrich(df: DataFrame, *, value: str = "value", id_column: str | None = None, **options) -> Enriched:
     """Sanitized packets to index rows (keyed by ``id``) and quarantined dead letters.
 
-    Without an ``id_column`` a packet is keyed by its content, so delivering it twice indexes it
-    once. ``options`` are those of ``enrich_text``; ``model_version`` is required.
+    Without an ``id_column`` a packet is keyed by its content, so two deliveries have one key; rows of
+    equal keys are merged by who stores them. ``options`` are those of ``enrich_text``; ``model_version`` is required.
     """
     parsed = parse_packet_with_meta(df, value)
     key = F.sha2(value, 256) if id_column is None else F.col(id_column).cast("string")

@@ -358,10 +358,10 @@ def role_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as dead letters in the four produced shapes."""
     turns = table(spark, sf_dir, "conversations")
-    key = F.col("conv_id") * 100 + F.col("turn")
+    key = F.col("conv_id") * 4294967296 + F.col("turn")
     kind = key % 4
     time = F.date_format(
-        F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(F.lit(0), F.lit(0), ((key * 7919) % 100000).cast("int")),
+        F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(F.lit(0), F.lit(0), ((key % 100000 * 7919) % 100000).cast("int")),
         "yyyy-MM-dd'T'HH:mm:ss'Z'",
     )
 
@@ -381,8 +381,8 @@ def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DEAD = """
 dead AS (
-  SELECT conv_id * 100 + turn AS id, text, (conv_id * 100 + turn) % 4 AS kind,
-         TIMESTAMP '2024-01-01' + to_minutes(((conv_id * 100 + turn) * 7919) % 100000) AS failed FROM conversations),
+  SELECT conv_id * 4294967296 + turn AS id, text, (conv_id * 4294967296 + turn) % 4 AS kind,
+         TIMESTAMP '2024-01-01' + to_minutes(((conv_id * 4294967296 + turn) % 100000 * 7919) % 100000) AS failed FROM conversations),
 letters AS (
   SELECT id, ['collector', 'sanitizer', 'sanitizer', 'brain'][kind + 1] AS stage,
          ['queue down', 'empty_raw_html', 'push failed', 'index failed'][kind + 1] AS error, text AS payload,

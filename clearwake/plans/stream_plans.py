@@ -81,12 +81,12 @@ def sanitize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stream_enrich",
     f"""WITH {PACKETS}
-SELECT conv_id * 100 + turn AS id, 'ok' AS branch, md5(found_text) AS payload_md5, source_url, CAST(NULL AS VARCHAR) AS error
+SELECT conv_id * 4294967296 + turn AS id, 'ok' AS branch, md5(found_text) AS payload_md5, source_url, CAST(NULL AS VARCHAR) AS error
 FROM parsed_packets WHERE quarantine IS NULL
 UNION ALL SELECT NULL, 'dlq', md5(value), source_url, quarantine FROM parsed_packets WHERE quarantine IS NOT NULL""",
 )
 def enrich_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = conversation_packets(spark, sf_dir).select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "value")
+    keyed = conversation_packets(spark, sf_dir).select((F.col("conv_id") * 4294967296 + F.col("turn")).alias("id"), "value")
     packets = file_stream(spark, staged(keyed, "packets", "id"))
     out, dlq = scratch_path(spark, "index"), scratch_path(spark, "text-dlq")
     drain(stream_enrich(packets, out, dlq, f"{out}-checkpoint", id_column="id", model_version="risk-rules-v2"))
