@@ -77,10 +77,12 @@ def find_spans(text: str, path: str | None = None) -> list[tuple[str, int, int]]
     spans = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN]
     spans += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= MIN_ACCESS]
     spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text) if len(m[0]) >= MIN_HEX]
-    base = list(spans)
+    base, at, reached = sorted((a, b) for _, a, b in spans), 0, 0
     for m in CANDIDATE.finditer(text):
-        covered = any(a < m.end() and m.start() < b for _, a, b in base)
-        if not covered and is_random(m[0], path):
+        # candidates come in order: a base span that starts before this one's end meets it if any such ends behind its start
+        while at < len(base) and base[at][0] < m.end():
+            reached, at = max(reached, base[at][1]), at + 1
+        if reached <= m.start() and is_random(m[0], path):
             spans.append(("random", m.start(), m.end()))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
