@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ MAX_PAGES = 300
 MAX_LITERAL_DOMAINS = 1_000
 # A frontier of more URLs than this is joined by shuffle.
 BROADCAST_URLS = 100_000
+# Stored tables of visited pages before they are stored as one.
+LAYERS = 8
 
 
 def extract_links(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -80,33 +83,38 @@ def crawl_snapshot(
     pages: DataFrame,
     start_url: str,
     domains: str | Iterable[str] | DataFrame,
-    max_pages: int | str | None = MAX_PAGES,
+    max_pages: int | str | None = None,
     max_depth: int | None = None,
 ) -> DataFrame:
     """Breadth-first crawl over stored pages ``(url, html)``: ``url, depth, html``.
 
-    A page is visited at its smallest depth, in (depth, url) order, until the budget is spent.
-    Links to pages that are not stored are failed fetches: they spend no budget. Page content is
+    A page is visited at its smallest depth, in (depth, url) order, until the budget is spent; without ``max_pages``
+    there is none. Links to pages that are not stored are failed fetches: they spend no budget. Page content is
     read twice in all: once for a narrow link table, once for the visited pages. Each depth joins
-    narrow tables and is stored; what was reached before is one more stored table per depth.
+    narrow tables and is stored. What was reached before is at most ``LAYERS`` stored tables, so the plan does
+    not grow with the depth.
     """
-    budget = page_limit(max_pages)
+    budget = None if max_pages is None else page_limit(max_pages)
     known = pages.select("url").distinct()
     links = allow_domains(resolve_links(extract_links(pages, keep=("url",))), domains)
     targets = known.withColumnRenamed("url", "link")
     edges = cut_lineage(links.select("url", "link").distinct().join(targets, "link", "left_semi"))
     seed = pages.sparkSession.range(1).select(F.lit(start_url).alias("url"))
     fresh = allow_domains(seed, domains, "url").join(known, "url", "left_semi")
-    reached: DataFrame | None = None
+    layers: list[DataFrame] = []
     visited, depth = 0, 0
     while True:
         layer = cut_lineage(fresh.withColumn("depth", F.lit(depth)))
         size = layer.count()
-        if size > budget - visited:
+        if budget is not None and size > budget - visited:
             layer, size = cut_lineage(page_budget(layer, budget - visited)), budget - visited
-        reached = layer if reached is None else reached.unionByName(layer)
+        layers.append(layer)
+        reached = reduce(DataFrame.unionByName, layers)
+        if len(layers) == LAYERS:
+            reached = cut_lineage(reached)
+            layers = [reached]
         visited, depth = visited + size, depth + 1
-        if not size or visited >= budget or (max_depth is not None and depth > max_depth):
+        if not size or visited == budget or (max_depth is not None and depth > max_depth):
             break
         frontier = F.broadcast(layer) if size <= BROADCAST_URLS else layer
         fresh = dedupe_frontier(edges.join(frontier, "url", "left_semi"), reached)

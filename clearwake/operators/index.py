@@ -238,14 +238,9 @@ def label_distribution(index: DataFrame) -> DataFrame:
 
 
 def entity_counts(index: DataFrame) -> DataFrame:
-    """Mentions per entity, and the documents they are in."""
-    per_document = index.select(
-        F.explode(F.transform(F.array_distinct("entities"), lambda e: F.struct(
-            e.alias("e"),
-            F.size(F.filter("entities", lambda x: (x["text"] == e["text"]) & (x["type"] == e["type"]))).alias("n"),
-        ))).alias("_x")
-    )
-    return (
-        per_document.groupBy(F.col("_x.e.type").alias("type"), F.col("_x.e.text").alias("text"))
-        .agg(F.sum("_x.n").alias("mentions"), F.count(F.lit(1)).alias("documents"))
+    """Mentions per entity, and the documents (by ``id``) they are in."""
+    mentions = index.select("id", F.explode("entities").alias("_e")).select("id", "_e.type", "_e.text")
+    per_document = mentions.groupBy("id", "type", "text").agg(F.count(F.lit(1)).alias("_n"))
+    return per_document.groupBy("type", "text").agg(
+        F.sum("_n").alias("mentions"), F.count(F.lit(1)).alias("documents")
     )

@@ -124,9 +124,13 @@ def stage_counters(outcomes: DataFrame) -> DataFrame:
     return sums.select("stage", F.inline(named))
 
 
-def exposition(counters: DataFrame) -> DataFrame:
-    """One ``line`` of metrics text per counter, and its ``metric`` to sort by."""
-    return counters.select("metric", F.concat_ws(" ", "metric", F.col("value").cast("string")).alias("line"))
+def exposition(counters: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """One ``line`` of metrics text per counter, and its ``metric`` to sort by; with ``max_pages`` that gauge as well."""
+    values = counters.select("metric", F.col("value").cast("long").alias("value"))
+    if max_pages is not None:
+        gauge = counters.sparkSession.range(1).select(F.lit(MAX_PAGES_GAUGE).alias("metric"), F.lit(max_pages).cast("long").alias("value"))
+        values = values.unionByName(gauge)
+    return values.select("metric", F.concat_ws(" ", "metric", F.col("value").cast("string")).alias("line"))
 
 
 # -- rates --------------------------------------------------------------------------------------
@@ -209,37 +213,43 @@ def outcome_ratio(
     return both.select(key, F.col("_w.start").alias("ts"), "failures", "processed", ratio.alias("ratio"))
 
 
+def _with_key(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``found``, one row per key, where there is one; null is a key too."""
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    return rows.join(found.withColumnRenamed(key, "_key"), same, "left").drop("_key")
+
+
 def canary_verdict(
     ratios: DataFrame,
     threshold: float = ERROR_THRESHOLD,
     key: str = "deployment",
     healthy: Column | bool = True,
     baseline: Column | bool = False,
+    duration_s: int | None = None,
 ) -> DataFrame:
     """One verdict per deployment from its ratio samples ``(key, ts, ratio)``.
 
-    The first sample above three times the threshold ends the observation. Otherwise the mean
-    decides. ``baseline`` marks rows sampled before the switch: the newest of them is reported
-    and has no say. ``healthy`` is false where the gateway did not come up after the switch.
+    The first sample above three times the threshold ends the observation, samples at the same time included. Otherwise the
+    mean decides. ``baseline`` marks rows sampled before the switch: the newest of them is reported
+    and has no say. ``healthy`` is false where the gateway did not come up after the switch. With ``duration_s`` the
+    observation ends so long after its first sample, and later ones have no say; without it all samples count.
     """
     before = baseline if isinstance(baseline, Column) else F.lit(baseline)
     well = healthy if isinstance(healthy, Column) else F.lit(healthy)
-    spike_limit = threshold * SPIKE_FACTOR
-    earlier = (
-        Window.partitionBy(key, "_before").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    observed = (
-        ratios.withColumn("_before", before)
-        .withColumn("_healthy", well)
-        .withColumn("_spike", ~F.col("_before") & (F.col("ratio") > spike_limit))
-        .withColumn("_tripped", F.coalesce(F.max("_spike").over(earlier), F.lit(False)))
-        .where(~F.col("_tripped"))
-    )
     canary = ~F.col("_before")
+    rows = ratios.withColumns({"_before": before, "_healthy": well})
+    if duration_s is not None:
+        length = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(duration_s))
+        starts = rows.where(canary).groupBy(key).agg((F.min("ts") + length).alias("_until"))
+        rows = _with_key(rows, starts, key).where(F.col("_before") | (F.col("ts") < F.col("_until")))
+    spikes = rows.where(canary & (F.col("ratio") > threshold * SPIKE_FACTOR)).groupBy(key).agg(F.min("ts").alias("_spike_at"))
+    observed = _with_key(rows, spikes, key).where(
+        F.col("_before") | F.col("_spike_at").isNull() | (F.col("ts") <= F.col("_spike_at"))
+    )
     summary = observed.groupBy(key).agg(
         F.coalesce(F.bool_and("_healthy"), F.lit(True)).alias("_ok"),
-        F.coalesce(F.bool_or("_spike"), F.lit(False)).alias("_spiked"),
-        F.min(F.when(F.col("_spike"), F.col("ts"))).alias("spike_at"),
+        F.max("_spike_at").isNotNull().alias("_spiked"),
+        F.max("_spike_at").alias("spike_at"),
         F.count_if(canary).alias("samples"),
         F.coalesce(F.avg(F.when(canary, F.col("ratio"))), F.lit(0.0)).alias("mean_ratio"),
         F.coalesce(F.max_by(F.col("ratio"), F.when(~canary, F.col("ts"))), F.lit(0.0)).alias("baseline_ratio"),

@@ -88,9 +88,13 @@ def stage_counters_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counters(spark, sf_dir)
 
 
-@query("metrics_exposition", f"WITH {_COUNTERS} SELECT metric, metric || ' ' || CAST(value AS VARCHAR) AS line FROM counters")
+@query(
+    "metrics_exposition",
+    f"""WITH {_COUNTERS} SELECT metric, metric || ' ' || CAST(value AS VARCHAR) AS line FROM counters
+UNION ALL SELECT 'collector_max_pages', 'collector_max_pages 300'""",
+)
 def metrics_exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exposition(counters(spark, sf_dir))
+    return exposition(counters(spark, sf_dir), max_pages=300)
 
 
 # -- rates and verdicts --------------------------------------------------------------------------

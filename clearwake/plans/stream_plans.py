@@ -28,16 +28,20 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def staged(df: DataFrame, name: str, key: str, files: int = 4) -> str:
-    """``df`` as a folder of several files, to be streamed one by one."""
+#: Files of about so many bytes make a micro-batch.
+BATCH_BYTES = "1g"
+
+
+def staged(df: DataFrame, name: str) -> str:
+    """``df`` as a folder of as many files as it has partitions, to be streamed."""
     path = scratch_path(df.sparkSession, name)
-    df.repartition(files, key).write.parquet(path)
+    df.write.parquet(path)
     return path
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(path)
 
 
 def drain(writer: DataStreamWriter) -> None:
@@ -66,7 +70,7 @@ SELECT page_id, 'ok' AS branch, md5(clean) AS payload_md5, strlen(html) AS lengt
 UNION ALL SELECT page_id, 'dlq', md5(value), NULL, 'empty_raw_html' FROM classified WHERE outcome = 'dlq'""",
 )
 def sanitize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packets = file_stream(spark, staged(raw_envelopes(spark, sf_dir), "raw", "page_id"))
+    packets = file_stream(spark, staged(raw_envelopes(spark, sf_dir), "raw"))
     out, dlq = scratch_path(spark, "sanitized"), scratch_path(spark, "raw-dlq")
     drain(stream_sanitize(packets, out, dlq, f"{out}-checkpoint", PAGE_MIN_BYTES, keep=("page_id",)))
     ok = spark.read.parquet(out).select(
@@ -87,7 +91,7 @@ UNION ALL SELECT NULL, 'dlq', md5(value), source_url, quarantine FROM parsed_pac
 )
 def enrich_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = conversation_packets(spark, sf_dir).select((F.col("conv_id") * 4294967296 + F.col("turn")).alias("id"), "value")
-    packets = file_stream(spark, staged(keyed, "packets", "id"))
+    packets = file_stream(spark, staged(keyed, "packets"))
     out, dlq = scratch_path(spark, "index"), scratch_path(spark, "text-dlq")
     drain(stream_enrich(packets, out, dlq, f"{out}-checkpoint", id_column="id", model_version="risk-rules-v2"))
     ok = spark.read.parquet(out).select(
@@ -146,10 +150,8 @@ def canary_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts from a stream of daily ratios, itself the output of a stream."""
     daily = run_to_table(stream_error_ratio(_outcomes(stream_table(spark, sf_dir, "events")), 86_400), "ratios")
     ratios = daily.select(F.col("deployment").cast("string").alias("deployment"), "ts", "ratio")
-    path = scratch_path(spark, "ratio-files")
-    # files in time order: the state machine sees samples as they were taken
-    ratios.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
-    verdicts = stream_canary(spark.readStream.schema(ratios.schema).parquet(path), threshold=0.25)
+    # one micro-batch: the state machine orders the samples of a batch by time
+    verdicts = stream_canary(spark.readStream.schema(ratios.schema).parquet(staged(ratios, "ratio-files")), threshold=0.25)
     return run_to_table(verdicts, "verdicts").withColumn("mean_ratio", F.round("mean_ratio", 9))
 
 
@@ -163,9 +165,9 @@ def latency_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", make_traceparent("page_id").alias("traceparent"))
     raw = pages.withColumn("collected_at", moment(n))
     index = pages.where("page_id % 7 <> 0").withColumn("timestamp", moment(n + 30 + (n * 37) % 150))
-    # one file per side: a small replay is one micro-batch, so no row is late
-    starts = file_stream(spark, staged(raw, "starts", "page_id", files=1))
-    ends = file_stream(spark, staged(index, "ends", "page_id", files=1))
+    # a replay without a limit per trigger is one micro-batch, so no row is late
+    starts = spark.readStream.schema(raw.schema).parquet(staged(raw, "starts"))
+    ends = spark.readStream.schema(index.schema).parquet(staged(index, "ends"))
     found = run_to_table(stream_latency(starts, ends), "latency")
     keys = pages.select("page_id", F.substring("traceparent", 4, 32).alias("trace_id"))
     return found.join(keys, "trace_id").select("page_id", "latency_s")
