@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -49,9 +50,13 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     for k in range(GRAM):
         packed[: max(0, len(raw) - k)] |= raw[k:].astype(np.uint64) << np.uint64(8 * k)
     sizes = np.diff(offsets)
-    inside = np.arange(len(raw)) <= np.repeat(offsets[1:] - GRAM, sizes)
-    buckets = (wa.mix(packed[inside]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    row = np.repeat(np.arange(len(sizes)), sizes)[inside]
+    # no 5-gram starts in the last four bytes of a row
+    inside = np.ones(len(raw), bool)
+    for k in range(1, GRAM):
+        inside[offsets[1:][sizes >= k] - k] = False
+    buckets = (wa.mix(packed[inside]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+    del packed
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), np.maximum(0, sizes - GRAM + 1))
     words = wa.split_words(raw, offsets, wa.NOT_SPACE)
     word_row = words.row_of
     same = (words.codes[1:] == words.codes[:-1]) & (word_row[1:] == word_row[:-1])
@@ -124,10 +129,11 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.round(ratio * _UNIT).astype(np.int64)
 
 
-def rate(docs: DataFrame, ratios: np.ndarray, keep: tuple[str, ...]) -> DataFrame:
-    """The ``keep`` columns, ``mean`` (per 5-gram) and ``worst`` (mean of the worst passage); both 0 at most for a text
-    without 5-grams. Sums are of whole numbers, so they don't depend on how rows are grouped."""
-    columns = list(dict.fromkeys([*keep, "text"]))
+def rate(docs: DataFrame, ratios: np.ndarray, keep: tuple[str, ...], within: str | None = None) -> DataFrame:
+    """The ``keep`` columns, ``gram_mean`` (per 5-gram) and ``gram_worst`` (mean of the worst passage); both 0 at most for a
+    text without 5-grams. Sums are of whole numbers, so they don't depend on how rows are grouped. ``within`` names a
+    struct in ``keep`` that holds the text."""
+    columns = list(keep) if within else list(dict.fromkeys([*keep, "text"]))
     out = ", ".join(
         [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["gram_mean double", "gram_worst double"]
     )
@@ -137,9 +143,10 @@ def rate(docs: DataFrame, ratios: np.ndarray, keep: tuple[str, ...]) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = shared.value
         for batch in batches:
-            for first, last in wa.slices(batch.column("text")):
+            texts = pc.struct_field(batch.column(within), "text") if within else batch.column("text")
+            for first, last in wa.slices(texts):
                 part = batch.slice(first, last - first)
-                buckets, row, same, sizes = _grams(part.column("text"))
+                buckets, row, same, sizes = _grams(texts.slice(first, last - first))
                 upto = np.concatenate([[0], np.cumsum(ratio[buckets])])
                 ends = np.searchsorted(row, np.arange(len(sizes) + 1))
                 total = upto[ends[1:]] - upto[ends[:-1]]
@@ -247,9 +254,9 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFr
     A null or empty text has log weight 0 and is as likely as the target.
     """
     model, _ = fit(docs, labels, k)
-    plain = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    plain = docs.select(F.struct(*docs.columns).alias("row"), "doc_id")
     # ratings are made anew rather than joined: texts stay where they are
-    rated = rate(plain, model.ratios, ("row", "doc_id"))
+    rated = rate(plain, model.ratios, ("row", "doc_id"), within="row")
     return with_keys(rated, model.mean_limit, model.worst_limit).where(_sampled(model)).select("row.*")
 
 

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Rows are worked on in slices of about so many bytes, whatever the batch size is.
-SLICE_BYTES = 4 << 20
+# Rows are worked on in slices of about so many bytes, whatever the batch size is. Arrays of a slice take up to a
+# hundred times as much.
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
