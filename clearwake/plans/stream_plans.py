@@ -29,7 +29,7 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Files of about so many bytes make a micro-batch.
-BATCH_BYTES = "1g"
+BATCH_BYTES = 1 << 30
 
 
 def staged(df: DataFrame, name: str) -> str:
