@@ -93,6 +93,16 @@ def test_verdicts(spark):
     assert seen["spike"] == ("PROMOTE", 0.9, 0) and seen["mean"] == ("PROMOTE", 0.3, 0)
 
 
+def test_verdict_within_duration(spark):
+    """What comes after the observation has no say: eight good samples, then a spike."""
+    rows = [("late", at(15 * i), 0.0 if i < 8 else 0.9) for i in range(9)] + [("soon", at(15 * i), 0.9 if i == 7 else 0.0) for i in range(9)]
+    df = spark.createDataFrame(rows, "deployment string, ts timestamp, ratio double")
+    bounded = {r["deployment"]: (r["verdict"], r["samples"]) for r in canary_verdict(df, duration_s=120).collect()}
+    assert bounded == {"late": ("PROMOTE", 8), "soon": ("ROLLBACK_SPIKE", 8)}
+    whole = {r["deployment"]: r["verdict"] for r in canary_verdict(df).collect()}
+    assert whole == {"late": "ROLLBACK_SPIKE", "soon": "ROLLBACK_SPIKE"}
+
+
 def test_burn_rate_of_summaries(spark):
     def doc(failed=None, checks=None):
         wrap = lambda v: None if v is None else {"values": {"rate": v}}
