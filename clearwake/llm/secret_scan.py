@@ -1,7 +1,9 @@
 """Secret scans: fixed patterns, and strings that a tokenizer can hardly shorten.
 
 A string of random characters has few characters per token under a vocabulary made from text. Long
-strings of mixed characters below a ratio are reported, unless they are digests of a known length or identifiers.
+strings below a ratio are reported, of mixed characters, letters or digits, unless they are digests of a known length or
+UUIDs. Names are strings of words or of a few digits; their ratio is that of the words, and it must be lower. A string is
+reported as a whole if only one part of it, between separators, is random.
 One linear pattern over a whole batch picks the texts that are looked at further.
 """
 
@@ -33,14 +35,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Characters per token below which a mixed string counts as random.
-MAX_RATIO = 2.2
+#: Characters per token below which a string counts as random; made of words, which have rare ones among them, lower.
+MAX_RATIO, MAX_WORD_RATIO = 2.2, 2.0
+#: Characters that a part between separators has at least to be tested alone; of digits only as many as a candidate.
+MIN_PART, MIN_DIGITS = 16, 20
 # Lengths of hexadecimal digests (MD5, SHA-1, SHA-2).
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _PURE_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 #: Parts of words or of a few digits joined by separators, as in names and paths.
 _NAME = re.compile(r"[-_/+=]*([A-Za-z]+[0-9]{0,4}|[0-9]{1,8})([-_/+=]+([A-Za-z]+[0-9]{0,4}|[0-9]{1,8}))*[-_/+=]*")
+_SEPARATOR = re.compile("[-_/+=]+")
 # What any of the patterns needs, for a linear matcher.
 _ANY = (
     r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[A-Za-z0-9+/_=-]{20}"
@@ -63,13 +68,31 @@ def encoding(path: str | None):
     )
 
 
+def _is_digest(text: str) -> bool:
+    return bool(_PURE_HEX.fullmatch(text)) and len(text) in DIGEST_LENGTHS
+
+
+def _below(parts: list[str], limit: float, path: str | None) -> bool:
+    """Whether the parts have fewer characters per token than ``limit``, all in all."""
+    encode = encoding(path).encode_ordinary
+    return sum(map(len, parts)) < limit * sum(len(encode(p)) for p in parts)
+
+
 def is_random(text: str, path: str | None = None) -> bool:
-    """Whether a candidate is neither digest nor identifier and takes many tokens for its length."""
-    if _PURE_HEX.fullmatch(text) and len(text) in DIGEST_LENGTHS or _UUID.fullmatch(text) or _NAME.fullmatch(text):
-        return False
-    if not (re.search("[0-9]", text) and re.search("[A-Za-z]", text)):
+    """Whether a candidate, or a long part of it, takes many tokens for its length and is neither digest nor UUID."""
+    if _is_digest(text) or _UUID.fullmatch(text):
         return False
-    return len(text) / len(encoding(path).encode_ordinary(text)) < MAX_RATIO
+    parts = [p for p in _SEPARATOR.split(text) if p]
+    # separators alone are lines, and groups of a few digits are dates and numbers
+    if _NAME.fullmatch(text):
+        found = _below([p for p in parts if not p.isdigit()], MAX_WORD_RATIO, path)
+    else:
+        found = bool(parts) and _below([text], MAX_RATIO, path)
+    return found or any(
+        _below([p], MAX_WORD_RATIO if _NAME.fullmatch(p) else MAX_RATIO, path)
+        for p in parts
+        if len(p) >= (MIN_DIGITS if p.isdigit() else MIN_PART) and p != text and not _is_digest(p)
+    )
 
 
 def find_spans(text: str, path: str | None = None) -> list[tuple[str, int, int]]:

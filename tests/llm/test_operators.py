@@ -184,6 +184,34 @@ def test_random_strings():
         assert not secret_scan.is_random(fine)
 
 
+def test_random_strings_of_any_characters(spark):
+    found = (
+        "qzjxkvwpfhgtrbnmqlxzkjvwpqhgftrb",  # lower-case letters only
+        "kXqZvJwPfRtHbNmGzLxQjVkWpTrFhBgMnQzXvJkL",  # letters of both cases
+        "QzXvJkLwPfRtHbNmGz12",  # shaped like a word and a number
+        "abQzfX/GvJkLp+MwNqTr",  # pieces of letters
+        "73918264059174830265917",  # digits only
+        "configuration_management_service_qzjxkvwpfhgtrbnmqlxz",  # behind words
+        "configuration-management-service-account=x9Qz7Kp2Lm4Vt8Rw1Yb6",
+    )
+    missed = [t for t in found if not secret_scan.is_random(t)]
+    assert not missed
+    for fine in (
+        "einlichheitenpfpfver",
+        "enpfauungeinachiesch",
+        "getElementsByClassName",
+        "HTTPConnectionPoolManager",
+        "2024-01-01-2024-01-02",
+        "00000000000000000000",
+        "-_-_-_-_-_-_-_-_-_-_-_-_",
+        "a" * 300_000,
+    ):
+        assert not secret_scan.is_random(fine)
+    docs = _docs(spark, [(i, f"key: {t} end") for i, t in enumerate(found)])
+    cleaned = [r["text"] for r in secret_scan.redact(docs).collect()]
+    assert cleaned == ["key: [SECRET] end"] * len(found)
+
+
 # -- 4 -------------------------------------------------------------------------------------------
 
 
