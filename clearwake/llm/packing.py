@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,11 +78,16 @@ class TextTokens:
     """Ids of texts, each different piece encoded once.
 
     Holds for a vocabulary that lowers case, drops white space, and tells letters, digits and the rest apart before
-    it joins anything, with a mark at the end of each run. Strings of special tokens are ordinary text.
+    it joins anything, with a mark at the end of each run. Its added tokens are found as they stand, before all else;
+    what lies between them is encoded by itself.
     """
 
     def __init__(self, path: str | None) -> None:
         self.tokenizer = tokenizer(path)
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        # of tokens that start at one place the longest
+        self.added = dict(sorted(added.items(), key=lambda t: -len(t[0])))
+        self.mark = re.compile("(" + "|".join(map(re.escape, self.added)) + ")")
         # of the worker, not of the task: pieces seen lately, and those before them
         self.known = _KNOWN.setdefault(path, [{}, {}])
 
@@ -110,20 +116,38 @@ class TextTokens:
             recent[piece] = pack(*found.ids)
         return recent
 
+    def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Texts cut at added tokens: the segments, the id that follows each, and the index of each text's first one."""
+        marked = np.zeros(len(texts), bool)
+        for token in self.added:
+            marked |= np.asarray(pc.fill_null(pc.match_substring(texts, token), False))
+        if not marked.any():
+            return texts, np.full(len(texts), END_ID), np.arange(len(texts) + 1)
+        segments: list[str | None] = []
+        closing, first = [], [0]
+        for text, cut in zip(texts.to_pylist(), marked.tolist()):
+            found = self.mark.split(text) if cut else [text]
+            segments += found[::2]
+            closing += [*(self.added[t] for t in found[1::2]), END_ID]
+            first.append(len(segments))
+        return pa.array(segments, pa.large_string()), np.array(closing), np.array(first)
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's closed by ``END_ID``, and where each text starts."""
-        words = _pieces(texts)
+        segments, closing, texts_first = self.split(texts)
+        words = _pieces(segments)
         vocabulary = words.vocabulary.to_pylist()
         known = self.learn(vocabulary)
-        parts = [*map(known.__getitem__, vocabulary), pack(END_ID)]
+        closing_ids, closing = np.unique(closing, return_inverse=True)
+        parts = [*map(known.__getitem__, vocabulary), *map(pack, closing_ids.tolist())]
         flat = np.frombuffer(b"".join(parts), "<u4")
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        codes = np.insert(words.codes, words.rows[1:], len(vocabulary))
+        codes = np.insert(words.codes, words.rows[1:], len(vocabulary) + closing)
         lengths = sizes[codes]
         before = np.concatenate([[0], np.cumsum(lengths)])
         ids = flat[np.repeat(first[codes] - before[:-1], lengths) + np.arange(before[-1])]
-        return ids, before[words.rows + np.arange(len(words.rows))]
+        return ids, before[words.rows + np.arange(len(words.rows))][texts_first]
 
 
 class Packer:

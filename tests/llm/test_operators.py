@@ -400,6 +400,28 @@ def test_packing(spark, sf_dir, edge, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+ADDED = [
+    "a <|endoftext|> b",
+    "<|startoftext|>It's<|endoftext|>'t<|endoftext|><|startoftext|>",
+    None,
+    "",
+    "no mark, <|ENDOFTEXT|> <|endof text|> <|endoftext|",
+    "naïve É<|endoftext|>\u0301x 日<|endoftext|>本 " * 1_500,
+    "plain words",
+]
+
+
+def test_packing_added_tokens(spark):
+    encode = packing.tokenizer(None).encode
+    want = {i: encode(t or "", add_special_tokens=False).ids + [1] for i, t in enumerate(ADDED)}
+    assert want[0] == [320, 49407, 321, 1]
+    found = defaultdict(list)
+    for r in packing.pack_documents(_docs(spark, list(enumerate(ADDED)))).collect():
+        assert r["doc_tokens"] == len(want[r["doc_id"]])
+        found[r["doc_id"]].append((r["start"], np.frombuffer(r["ids"], "<u4").tolist()))
+    assert {i: [x for _, ids in sorted(parts) for x in ids] for i, parts in found.items()} == want
+
+
 def test_sum_of_squares():
     rng = np.random.default_rng(2)
     packer, levels = packing.Packer(32, 10**9), Counter()
