@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -14,6 +16,7 @@ from clearwake.plans.text_plans import PAGE_MIN_BYTES
 from clearwake.session import scratch_path
 from clearwake.streaming.canary import stream_canary
 from clearwake.streaming.jobs import (
+    late_rows,
     stream_dedupe,
     stream_enrich,
     stream_error_ratio,
@@ -44,10 +47,20 @@ def file_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(path)
 
 
-def drain(writer: DataStreamWriter) -> None:
-    """Process what is there, then stop."""
+def drain(writer: DataStreamWriter) -> int:
+    """Process what is there, then stop. Returns, and warns of, the number of rows that came too late."""
     job = writer.trigger(availableNow=True).start()
-    job.awaitTermination()
+    late: dict[int, int] = {}
+    ended = False
+    while not ended:
+        ended = bool(job.awaitTermination(1))
+        # a query keeps its newest progress only
+        for progress in job.recentProgress:
+            late[progress.batchId] = max(late_rows(progress), late.get(progress.batchId, 0))
+    total = sum(late.values())
+    if total:
+        warnings.warn(f"{total} rows came behind the watermark and are not in the result", stacklevel=2)
+    return total
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
@@ -150,8 +163,9 @@ def canary_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts from a stream of daily ratios, itself the output of a stream."""
     daily = run_to_table(stream_error_ratio(_outcomes(stream_table(spark, sf_dir, "events")), 86_400), "ratios")
     ratios = daily.select(F.col("deployment").cast("string").alias("deployment"), "ts", "ratio")
-    # one micro-batch: the state machine orders the samples of a batch by time
-    verdicts = stream_canary(spark.readStream.schema(ratios.schema).parquet(staged(ratios, "ratio-files")), threshold=0.25)
+    # one micro-batch, so none is late; the first eight count, however many days lie between them
+    samples = spark.readStream.schema(ratios.schema).parquet(staged(ratios, "ratio-files"))
+    verdicts = stream_canary(samples, threshold=0.25, interval_s=86_400, timeout_s=None, delay="0 seconds")
     return run_to_table(verdicts, "verdicts").withColumn("mean_ratio", F.round("mean_ratio", 9))
 
 
@@ -160,7 +174,7 @@ def canary_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT page_id, CAST(30 + (page_id * 37) % 150 AS DOUBLE) AS latency_s FROM pages WHERE page_id % 7 <> 0""",
 )
 def latency_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latencies from a join of two streams on trace id."""
+    """Latencies from a join of two streams on trace id, of the packets that were indexed."""
     n = F.col("page_id")
     pages = table(spark, sf_dir, "pages").select("page_id", make_traceparent("page_id").alias("traceparent"))
     raw = pages.withColumn("collected_at", moment(n))
@@ -168,7 +182,7 @@ def latency_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a replay without a limit per trigger is one micro-batch, so no row is late
     starts = spark.readStream.schema(raw.schema).parquet(staged(raw, "starts"))
     ends = spark.readStream.schema(index.schema).parquet(staged(index, "ends"))
-    found = run_to_table(stream_latency(starts, ends), "latency")
+    found = run_to_table(stream_latency(starts, ends), "latency").where("latency_s IS NOT NULL")
     keys = pages.select("page_id", F.substring("traceparent", 4, 32).alias("trace_id"))
     return found.join(keys, "trace_id").select("page_id", "latency_s")
 

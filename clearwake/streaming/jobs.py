@@ -30,6 +30,14 @@ def _run(batch: DataFrame) -> str:
     return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
 
 
+def late_rows(progress) -> int:
+    """Rows that a micro-batch dropped because they came behind the watermark, from a query's progress.
+
+    As the state operators see them: rows of one window and key that an aggregation has already merged count once.
+    """
+    return sum(operator.numRowsDroppedByWatermark for operator in progress.stateOperators)
+
+
 def stream_sanitize(
     raw: DataFrame, out: str, dlq: str, checkpoint: str, min_bytes: int = MIN_TEXT_BYTES, value: str = "value",
     keep: tuple[str, ...] = (),
@@ -66,7 +74,7 @@ def stream_enrich(sanitized: DataFrame, out: str, dlq: str, checkpoint: str, **o
 def stream_error_ratio(
     outcomes: DataFrame, seconds: int = 60, delay: str = "1 minute", key: str = "deployment", denominator: str = "processed"
 ) -> DataFrame:
-    """Failure ratio per deployment and window of outcome events; later rows than ``delay`` are dropped."""
+    """Failure ratio per deployment and window of outcome events; later rows than ``delay`` are dropped, ``late_rows`` counts them."""
     return outcome_ratio(outcomes.withWatermark("ts", delay), seconds, key, denominator)
 
 
@@ -75,6 +83,8 @@ def stream_latency(
 ) -> DataFrame:
     """Seconds from collection to indexing, joined on trace id within ``limit``.
 
+    A packet that no index row meets within it has one row with null ``indexed_at`` and ``latency_s``, given when the
+    watermarks of both sides have passed the limit. Rows behind the watermarks are dropped; ``late_rows`` counts them.
     Invalid (all-zero) trace ids are dropped first: they do not identify a packet and would all
     meet in one partition.
     """
@@ -89,7 +99,7 @@ def stream_latency(
         & (F.col("indexed_at") >= F.col("collected_at"))
         & (F.col("indexed_at") <= F.col("collected_at") + F.expr(f"INTERVAL {limit}"))
     )
-    return starts.join(ends, within).select(
+    return starts.join(ends, within, "left").select(
         "trace_id",
         "collected_at",
         "indexed_at",

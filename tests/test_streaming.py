@@ -2,6 +2,7 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from clearwake.operators.enrich import enrich
@@ -130,6 +131,22 @@ def test_canary_equals_batch(spark):
     assert got == want and got["spike"] == ("ROLLBACK_SPIKE", 2)
 
 
+def test_canary_with_few_or_unordered_samples(spark):
+    """Fewer samples than wanted decide after a time-out; those of a later micro-batch take their place in time."""
+    schema = "deployment string, ts timestamp, ratio double"
+    source = scratch_path(spark, "in")
+    for part in (
+        [("few", 0, 0.1), ("few", 30, 0.2), ("bad", 0, 0.5), ("mixed", 0, 0.0), ("mixed", 30, 0.9)],
+        [("mixed", 15, 0.8)],
+        [("clock", 400, 0.0)],
+    ):
+        put(spark.createDataFrame([(d, at(s), r) for d, s, r in part], schema), source)
+    found = run_to_table(stream_canary(stream(spark, source, schema), 0.25), "verdicts").collect()
+    got = {r["deployment"]: (r["verdict"], r["samples"], round(r["mean_ratio"], 9)) for r in found}
+    assert got == {"few": ("PROMOTE", 2, 0.15), "bad": ("ROLLBACK_AVG", 1, 0.5), "mixed": ("ROLLBACK_SPIKE", 2, 0.4)}
+    assert len(found) == 3
+
+
 def test_a_verdict_is_given_once():
     state, verdict = _observe([0.9], (0.0, 0, False), 0.25, 8)
     assert verdict == "ROLLBACK_SPIKE"
@@ -149,6 +166,23 @@ def test_latency_join(spark):
     assert [(int(r["trace_id"], 16), r["latency_s"]) for r in found] == [(1, 10.0)]
 
 
+def test_latency_of_slow_packets(spark):
+    """A packet that is indexed too late, or never, has a row; rows behind the watermark are counted."""
+    left, right, out = (scratch_path(spark, n) for n in ("left", "right", "out"))
+    trace = lambda n: f"00-{n:032x}-{1:016x}-01"
+    raw_schema, index_schema = "traceparent string, collected_at timestamp", "traceparent string, timestamp timestamp"
+    for points in ([(1, 0), (2, 0), (3, 0)], [(8, 40_000)], [(9, 80_000)], [(7, 1)]):
+        put(spark.createDataFrame([(trace(n), at(s)) for n, s in points], raw_schema), left)
+    for points in ([(1, 10), (2, 7200)], [(8, 40_010)], [(9, 80_005)], [(9, 80_010)]):
+        put(spark.createDataFrame([(trace(n), at(s)) for n, s in points], index_schema), right)
+    found = stream_latency(stream(spark, left, raw_schema), stream(spark, right, index_schema))
+    writer = found.writeStream.format("parquet").option("checkpointLocation", f"{out}-checkpoint").option("path", out)
+    with pytest.warns(UserWarning, match="1 rows"):
+        assert drain(writer) == 1
+    got = sorted((int(r["trace_id"], 16), r["latency_s"]) for r in spark.read.parquet(out).where("collected_at < '2024-01-01 12:00:00'").collect())
+    assert got == [(1, 10.0), (2, None), (3, None), (8, 10.0)]
+
+
 def test_dedupe(spark):
     source = scratch_path(spark, "in")
     schema = "url string, ts timestamp"
