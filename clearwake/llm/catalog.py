@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clearwake.llm import decontamination, importance, jaccard_join, license_scan, packing, quality_rules, secret_scan, sharding, url_filter, warc
+from clearwake.llm import decontamination, importance, jaccard_join, lexical_search, license_scan, packing, quality_rules, secret_scan, sharding, toxicity, url_filter, warc
 from clearwake.session import configure
 
 
@@ -25,6 +25,8 @@ QUERIES = {
     "op8_decontamination": _configured(decontamination.query),
     "op9_url_filter": _configured(url_filter.query),
     "op10_packing": _configured(packing.query),
+    "op11_lexical_search": _configured(lexical_search.query),
+    "op13_toxicity": _configured(toxicity.query),
 }
 
 ORACLES = {
@@ -33,4 +35,5 @@ ORACLES = {
     "op7_license_scan": license_scan.SQL.strip(),
     "op8_decontamination": decontamination.SQL.strip(),
     "op9_url_filter": url_filter.SQL.strip(),
+    "op11_lexical_search": lexical_search.SQL.strip(),
 }
