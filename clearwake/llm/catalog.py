@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clearwake.llm import decontamination, importance, jaccard_join, lexical_search, license_scan, packing, quality_rules, secret_scan, sharding, toxicity, url_filter, warc
+from clearwake.llm import decontamination, hard_negatives, importance, jaccard_join, lexical_search, license_scan, packing, quality_rules, secret_scan, sharding, toxicity, url_filter, warc
 from clearwake.session import configure
 
 
@@ -26,6 +26,7 @@ QUERIES = {
     "op9_url_filter": _configured(url_filter.query),
     "op10_packing": _configured(packing.query),
     "op11_lexical_search": _configured(lexical_search.query),
+    "op12_hard_negatives": _configured(hard_negatives.query),
     "op13_toxicity": _configured(toxicity.query),
 }
 
@@ -36,4 +37,5 @@ ORACLES = {
     "op8_decontamination": decontamination.SQL.strip(),
     "op9_url_filter": url_filter.SQL.strip(),
     "op11_lexical_search": lexical_search.SQL.strip(),
+    "op12_hard_negatives": hard_negatives.SQL.strip(),
 }
