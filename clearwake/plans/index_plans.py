@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from clearwake.operators.index import (
     versions,
     write_index,
 )
+from clearwake.operators.index_log import history
 from clearwake.operators.learn import tfidf, train_forest, train_text
 from clearwake.operators.quality import (
     class_counts,
@@ -202,6 +204,29 @@ def migrated_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_index(spark, root, alias=ALIAS).select("id", "schema_version", "model_version", "risk_score")
 
 
+@query(
+    "index_writers",
+    f"""WITH {SEEDED}, {RULED}
+SELECT CAST(doc_id AS VARCHAR) AS id, risk_label, md5(text) AS content_md5, 'v1' AS schema_version, 5 AS log_entries FROM ruled""",
+)
+def written_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four writers at once, of overlapping parts of the documents: every change is in the log, every document is one row."""
+    root = scratch_path(spark, "index")
+    n = F.col("doc_id")
+    docs = seeded_docs(spark, sf_dir).withColumns(
+        {"id": n.cast("string"), "traceparent": make_traceparent("doc_id"), "source_url": F.col("source")}
+    )
+    rows = enrich_text(docs, model_version="m", schema_version="v1", now=moment(n, "MINUTE"), keep=("id",))
+    with ThreadPoolExecutor(4) as pool:
+        jobs = [pool.submit(write_index, rows.where(F.col("id").cast("long") % 5 != i), root, "v1", "m", ALIAS) for i in range(4)]
+        for job in jobs:
+            job.result()
+    entries = history(spark, root).count()
+    return read_index(spark, root, alias=ALIAS).select(
+        "id", "risk_label", F.md5("content").alias("content_md5"), "schema_version", F.lit(entries).alias("log_entries")
+    )
+
+
 @query("index_scan", f"WITH {SEEDED}, {RULED} SELECT CAST(doc_id AS VARCHAR) AS id, risk_label, md5(text) AS content_md5 FROM ruled WHERE doc_id % 3 <> 2")
 def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _stored(spark, sf_dir, "v1", "v2")

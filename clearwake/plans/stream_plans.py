@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from clearwake.functions.trace import make_traceparent
+from clearwake.operators.index import read_index
 from clearwake.plans.inputs import CLASSIFIED, PACKETS, conversation_packets, moment, raw_envelopes
 from clearwake.plans.ops_plans import sql_stamp, stamp_text
 from clearwake.plans.registry import query, table
@@ -19,6 +20,7 @@ from clearwake.streaming.jobs import (
     late_rows,
     stream_dedupe,
     stream_enrich,
+    stream_index,
     stream_error_ratio,
     stream_latency,
     stream_sanitize,
@@ -120,6 +122,24 @@ def enrich_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ok.unionByName(dead)
 
 
+@query(
+    "stream_index",
+    f"""WITH {PACKETS}
+SELECT DISTINCT sha256(value) AS id, md5(found_text) AS content_md5, source_url, 'v2' AS schema_version
+FROM parsed_packets WHERE quarantine IS NULL""",
+)
+def index_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs that share a third of the packets, in many micro-batches, into one version: one row per packet."""
+    packets = conversation_packets(spark, sf_dir).withColumn("third", F.pmod(F.xxhash64("value"), F.lit(3)))
+    root, dlq = scratch_path(spark, "index"), scratch_path(spark, "text-dlq")
+    for run, third in (("first", 2), ("second", 0)):
+        path = staged(packets.where(F.col("third") != third).select("value").repartition(4), f"packets-{run}")
+        stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", 2).parquet(path)
+        drain(stream_index(stream, root, "v2", dlq, f"{root}-checkpoint-{run}", "documents", model_version="risk-rules-v2"))
+    out = read_index(spark, root, alias="documents")
+    return out.select("id", F.md5("content").alias("content_md5"), "source_url", "schema_version")
+
+
 def _outcomes(events: DataFrame) -> DataFrame:
     return events.select(
         (F.col("user_id") % 50).alias("deployment"),

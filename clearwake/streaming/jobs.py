@@ -16,8 +16,10 @@ from pyspark.sql.streaming import DataStreamWriter
 from clearwake.functions.trace import valid_trace_id
 from clearwake.operators.dlq import normalise_dlq
 from clearwake.operators.enrich import enrich
+from clearwake.operators.index import write_index
 from clearwake.operators.sanitize import MIN_TEXT_BYTES, classify_raw, split
 from clearwake.operators.telemetry import outcome_ratio
+from clearwake.schemas import INDEX
 from clearwake.sources.writers import write_batch
 
 
@@ -71,6 +73,28 @@ def stream_enrich(sanitized: DataFrame, out: str, dlq: str, checkpoint: str, **o
     return _batches(sanitized, checkpoint, handle)
 
 
+def stream_index(
+    sanitized: DataFrame, root: str, version: str, dlq: str, checkpoint: str, alias: str | None = None, **options
+) -> DataStreamWriter:
+    """Sanitized packets into a version of the index, one row per packet id; options as for ``enrich``.
+
+    A packet that comes again, in another micro-batch or another run, takes the place of its row. A micro-batch that was
+    committed before changes nothing.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        stored = batch.persist()
+        try:
+            run = _run(batch)
+            parts = enrich(stored, schema_version=version, **options)
+            write_index(parts.ok.select(*INDEX.names), root, version, options["model_version"], alias, (run, batch_id))
+            write_batch(normalise_dlq(parts.dlq, "brain"), dlq, run, batch_id)
+        finally:
+            stored.unpersist()
+
+    return _batches(sanitized, checkpoint, handle)
+
+
 def stream_error_ratio(
     outcomes: DataFrame, seconds: int = 60, delay: str = "1 minute", key: str = "deployment", denominator: str = "processed"
 ) -> DataFrame:

@@ -77,7 +77,7 @@ def test_strict_schema(spark, root):
 
 def test_reads_only_the_version(spark, root):
     files = read_index(spark, root, "v2").inputFiles()
-    assert files and all("/v2-" in f for f in files)
+    assert files and all("/version=v2/" in f for f in files)
 
 
 def test_reindex(spark, root):
