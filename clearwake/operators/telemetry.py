@@ -143,38 +143,78 @@ def window_start(ts: Column | str, seconds: int) -> Column:
     return F.window(col_of(ts), f"{seconds} seconds")["start"]
 
 
-def counter_increase(samples: DataFrame, seconds: int = 60) -> DataFrame:
-    """Increase of each counter per window, and its per-second ``rate``; a drop is a restart from 0.
+SERIES = ("job", "metric")
 
-    Samples are compared within slices of at most a minute; between slices only the first and
-    last value matter. So a series of any density is never sorted in one task: what is ordered
-    per series is one row per slice. An increase counts for the window of its later sample.
-    """
-    series = ["job", "metric"]
-    slice_s = max(s for s in range(1, MAX_SLICE_S + 1) if seconds % s == 0)
-    within = Window.partitionBy(*series, "_slice").orderBy("ts", "value")
-    sliced = samples.select(*series, "ts", "value", window_start("ts", slice_s).alias("_slice"))
 
-    def step(previous: Column, current: Column) -> Column:
-        return F.when(previous.isNull(), 0.0).when(current < previous, current).otherwise(current - previous)
+def _step(previous: Column, current: Column) -> Column:
+    """Increase from one value to the next; a drop is a restart from 0."""
+    return F.when(previous.isNull(), 0.0).when(current < previous, current).otherwise(current - previous)
 
-    stepped = sliced.withColumn("_step", step(F.lag("value").over(within), F.col("value")))
+
+def _slices(samples: DataFrame, seconds: int) -> DataFrame:
+    """One row per series and slice of time: its increase ``_inner``, number of samples, and ``_carry``, the increase since
+    the last sample of the slice before, which began at ``_before``.
+
+    Samples are compared within slices; between slices only the first and last value matter. So a series of any density
+    is never sorted in one task: what is ordered per series is one row per slice.
+    """
+    within = Window.partitionBy(*SERIES, "_slice").orderBy("ts", "value")
+    sliced = samples.select(*SERIES, "ts", "value", window_start("ts", seconds).alias("_slice"))
+    stepped = sliced.withColumn("_step", _step(F.lag("value").over(within), F.col("value")))
     order = F.struct("ts", "value")
-    per_slice = stepped.groupBy(*series, "_slice").agg(
+    per_slice = stepped.groupBy(*SERIES, "_slice").agg(
         F.sum("_step").alias("_inner"),
         F.min_by("value", order).alias("_first"),
         F.max_by("value", order).alias("_last"),
         F.count(F.lit(1)).alias("_n"),
     )
-    across = Window.partitionBy(*series).orderBy("_slice")
-    carried = per_slice.withColumn("_carry", step(F.lag("_last").over(across), F.col("_first")))
+    across = Window.partitionBy(*SERIES).orderBy("_slice")
+    return per_slice.withColumns(
+        {"_carry": _step(F.lag("_last").over(across), F.col("_first")), "_before": F.lag("_slice").over(across)}
+    )
+
+
+def counter_increase(samples: DataFrame, seconds: int = 60) -> DataFrame:
+    """Increase of each counter per window, and its per-second ``rate``; a drop is a restart from 0.
+
+    An increase counts for the window of its later sample.
+    """
+    slice_s = max(s for s in range(1, MAX_SLICE_S + 1) if seconds % s == 0)
     return (
-        carried.groupBy(*series, window_start("_slice", seconds).alias("window_start"))
+        _slices(samples, slice_s)
+        .groupBy(*SERIES, window_start("_slice", seconds).alias("window_start"))
         .agg(F.sum("_n").alias("samples"), F.sum(F.col("_inner") + F.col("_carry")).alias("increase"))
         .withColumn("rate", F.col("increase") / F.lit(float(seconds)))
     )
 
 
+def rolling_rate(samples: DataFrame, window_s: int = 60, step_s: int = SAMPLE_INTERVAL_S) -> DataFrame:
+    """Per-second rate of each counter over the last ``window_s`` seconds, every ``step_s``: ``ts, samples, increase, rate``.
+
+    ``ts`` is a multiple of the step; its window is from ``ts - window_s`` on and ends before ``ts``, so a sample at ``ts``
+    belongs to later ones. Increases between two samples of the window count, those since a sample before it don't, and
+    nothing is extrapolated to its ends. A window with one sample has a null rate, one without any no row.
+
+    Windows overlap, samples are not copied: they are reduced to one row per slice of a step first, and these rows go to the
+    ``window_s / step_s`` windows they are part of.
+    """
+    if step_s <= 0 or window_s % step_s:
+        raise ValueError("the window must be a multiple of the step")
+
+    def later(seconds: int) -> Column:
+        return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
+
+    ends = F.array(*(F.col("_slice") + later(s) for s in range(step_s, window_s + 1, step_s)))
+    shared = _slices(samples, step_s).withColumn("ts", F.explode(ends))
+    # the step from the slice before counts where that one is in the window
+    joined = F.when(F.col("_before") >= F.col("ts") - later(window_s), F.col("_carry")).otherwise(0.0)
+    return (
+        shared.groupBy(*SERIES, "ts")
+        .agg(F.sum("_n").alias("samples"), F.sum(F.col("_inner") + joined).alias("increase"))
+        .withColumn("rate", F.when(F.col("samples") > 1, F.col("increase") / F.lit(float(window_s))))
+    )
+
+
 def _ratio(failures: Column, others: Column, denominator: str) -> Column:
     if denominator not in ("processed", "total"):
         raise ValueError("denominator must be 'processed' or 'total'")
@@ -188,18 +228,23 @@ def error_ratio(
     failures: str = FAILURES_METRIC,
     processed: str = PROCESSED_METRIC,
     denominator: str = "processed",
+    step_s: int | None = None,
 ) -> DataFrame:
-    """Failure rate over success rate per job and window: ``job, ts, ratio``; 0 where undefined."""
-    rates = counter_increase(samples.where(F.col("metric").isin(failures, processed)), seconds)
-    both = rates.groupBy("job", "window_start").agg(
+    """Failure rate over success rate per job and window: ``job, ts, ratio``; 0 where undefined.
+
+    Windows follow each other and ``ts`` is their start; with ``step_s`` they are those of ``rolling_rate``, where ``ts``
+    is the end.
+    """
+    wanted = samples.where(F.col("metric").isin(failures, processed))
+    if step_s is None:
+        rates = counter_increase(wanted, seconds).withColumnRenamed("window_start", "ts")
+    else:
+        rates = rolling_rate(wanted, seconds, step_s)
+    both = rates.groupBy("job", "ts").agg(
         F.sum(F.when(F.col("metric") == failures, F.col("rate"))).alias("_failed"),
         F.sum(F.when(F.col("metric") == processed, F.col("rate"))).alias("_done"),
     )
-    return both.select(
-        "job",
-        F.col("window_start").alias("ts"),
-        _ratio(F.col("_failed"), F.col("_done"), denominator).alias("ratio"),
-    )
+    return both.select("job", "ts", _ratio(F.col("_failed"), F.col("_done"), denominator).alias("ratio"))
 
 
 def outcome_ratio(

@@ -20,6 +20,7 @@ from clearwake.operators.telemetry import (
     exposition,
     load_gate,
     outcome_ratio,
+    rolling_rate,
     sanitizer_outcomes,
     service_status,
     slo_report,
@@ -128,6 +129,51 @@ def error_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return error_ratio(event_samples(spark, sf_dir), 3600).select("job", stamp_text("ts"), F.round("ratio", 9).alias("ratio"))
 
 
+# the counters are read once a minute: windows of an hour every quarter of it have as many reads as those of a minute at 15 s
+_ROLLING = f"""{SAMPLES},
+windows AS (
+  SELECT job, metric, s.ts AS read_at, value, time_bucket(INTERVAL '15 minutes', s.ts) + k * INTERVAL '15 minutes' AS ts
+  FROM samples s, unnest([1, 2, 3, 4]) AS t(k)),
+moves AS (SELECT *, lag(value) OVER (PARTITION BY job, metric, ts ORDER BY read_at, value) AS previous FROM windows),
+rolling AS (
+  SELECT job, metric, ts, count(*) AS samples,
+         sum(CASE WHEN previous IS NULL THEN 0 WHEN value < previous THEN value ELSE value - previous END) AS increase
+  FROM moves GROUP BY ALL)"""
+
+
+@query(
+    "rolling_rate",
+    f"""WITH {_ROLLING} SELECT job, metric, {sql_stamp('ts', 'ts')}, samples, increase,
+CASE WHEN samples > 1 THEN round(increase / 3600, 9) END AS rate FROM rolling""",
+)
+def rolling_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = rolling_rate(event_samples(spark, sf_dir), 3600, 900)
+    return rates.select("job", "metric", stamp_text("ts"), "samples", "increase", F.round("rate", 9).alias("rate"))
+
+
+@query(
+    "rolling_canary",
+    f"""WITH {_ROLLING}, sides AS (
+  SELECT job, ts, sum(increase) FILTER (metric = 'brain_index_failures_total' AND samples > 1) AS failed,
+         sum(increase) FILTER (metric = 'brain_processed_total' AND samples > 1) AS done FROM rolling GROUP BY ALL),
+ratios AS (
+  SELECT job || '/' || strftime(ts, '%Y-%m-%d') AS deployment, ts,
+         CASE WHEN failed IS NULL OR done IS NULL OR done <= 0 THEN 0 ELSE failed / done END AS ratio FROM sides),
+first_hours AS (
+  SELECT * FROM (SELECT *, min(ts) OVER (PARTITION BY deployment) AS start FROM ratios) WHERE ts < start + INTERVAL '4 hours'),
+spikes AS (SELECT *, min(CASE WHEN ratio > 0.3 * 3 THEN ts END) OVER (PARTITION BY deployment) AS spike_at FROM first_hours)
+SELECT deployment, count(*) AS samples, round(avg(ratio), 9) AS mean_ratio,
+       CASE WHEN any_value(spike_at) IS NOT NULL THEN 'ROLLBACK_SPIKE' WHEN avg(ratio) > 0.3 THEN 'ROLLBACK_AVG' ELSE 'PROMOTE' END AS verdict
+FROM spikes WHERE spike_at IS NULL OR ts <= spike_at GROUP BY deployment""",
+)
+def rolling_canary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A canary for each job and day, from overlapping ratios over its first four hours."""
+    ratios = error_ratio(event_samples(spark, sf_dir), 3600, step_s=900)
+    daily = ratios.withColumn("deployment", F.concat_ws("/", "job", F.date_format("ts", "yyyy-MM-dd")))
+    verdicts = canary_verdict(daily, threshold=0.3, duration_s=4 * 3600)
+    return verdicts.select("deployment", "samples", F.round("mean_ratio", 9).alias("mean_ratio"), "verdict")
+
+
 _RATIOS = """
 ratios AS (
   SELECT user_id % 50 AS deployment, time_bucket(INTERVAL '1 day', ts) AS ts,

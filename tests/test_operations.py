@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from clearwake.operators.telemetry import (
     counter_increase,
     error_ratio,
     exposition,
+    rolling_rate,
     service_status,
     slo_report,
     stage_counters,
@@ -330,3 +332,28 @@ def test_messages(spark):
 def test_scan_has_no_shuffle(spark):
     df = policy_scan(spark.createDataFrame([("d", "{}")], "doc_id string, body string"), "terraform")
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rolling_rate(spark):
+    """Overlapping windows against a plain count over each of them; restarts, gaps, repeated times and edges."""
+    rng = random.Random(5)
+    rows, value = [], 0.0
+    for second in sorted(rng.sample(range(0, 900), 120)) + [60, 75, 90]:
+        value = rng.choice([0.0, value + rng.randint(0, 9), value + 1.0])
+        rows.append(("j", "m", at(second), value))
+    rows += [("j", "other", at(0), 1.0), ("j", "other", at(59), 3.0), ("j", "other", at(60), 4.0)]
+    want = {}
+    for metric in ("m", "other"):
+        series = sorted((t, v) for _, m, t, v in rows if m == metric)
+        for end in range(15, 1000, 15):
+            inside = [v for t, v in series if at(end - 60) <= t < at(end)]
+            if inside:
+                increase = sum(b if b < a else b - a for a, b in zip(inside, inside[1:]))
+                want[(metric, at(end))] = (len(inside), increase, increase / 60 if len(inside) > 1 else None)
+    df = spark.createDataFrame(rows, "job string, metric string, ts timestamp, value double").repartition(3)
+    got = {(r["metric"], r["ts"]): (r["samples"], r["increase"], r["rate"]) for r in rolling_rate(df).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+    assert got[("other", at(60))] == (2, 2.0, 2.0 / 60) and got[("other", at(75))] == (2, 1.0, 1.0 / 60)
+    with pytest.raises(ValueError):
+        rolling_rate(df, 60, 25)
