@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +21,12 @@ from clearwake.streaming.jobs import (
     late_rows,
     stream_dedupe,
     stream_enrich,
-    stream_index,
     stream_error_ratio,
+    stream_index,
     stream_latency,
     stream_sanitize,
+    tick,
+    with_ticks,
 )
 
 
@@ -78,16 +81,40 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-@query(
-    "stream_sanitize",
-    f"""WITH {CLASSIFIED}
+def run_to_end(name: str, build: Callable[..., DataFrame], *inputs: tuple[DataFrame, str, dict]) -> DataFrame:
+    """``run_to_table`` of a stream whose inputs have ended, what was open at their end included.
+
+    An input is a stream, the column of its time, and the marks of its tick.
+    """
+    spark = inputs[0][0].sparkSession
+    out = scratch_path(spark, name)
+    ticks = [f"{out}-ticks-{i}" for i in range(len(inputs))]
+    stream = build(*(with_ticks(rows, folder) for (rows, _, _), folder in zip(inputs, ticks)))
+    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}-checkpoint")
+    drain(writer.option("path", out))
+    for (rows, time, marks), folder in zip(inputs, ticks):
+        tick(rows, folder, time, **marks)
+    drain(writer.option("path", out))
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def staged_in_order(df: DataFrame, name: str, time: str, slices: int = 4) -> str:
+    """``df`` as a folder of files in order of time: ``slices`` equal spans of it, one written after the other."""
+    path = scratch_path(df.sparkSession, name)
+    first, last = df.agg(F.min(F.unix_micros(time)), F.max(F.unix_micros(time))).first()
+    width = (last - first) // slices + 1
+    for i in range(slices):
+        span = F.unix_micros(time).between(first + i * width, first + (i + 1) * width - 1)
+        df.where(span).coalesce(max(1, df.rdd.getNumPartitions() // slices)).write.mode("append").parquet(path)
+    return path
+
+
+_SANITIZED = f"""WITH {CLASSIFIED}
 SELECT page_id, 'ok' AS branch, md5(clean) AS payload_md5, strlen(html) AS length, CAST(NULL AS VARCHAR) AS error FROM classified WHERE outcome = 'ok'
-UNION ALL SELECT page_id, 'dlq', md5(value), NULL, 'empty_raw_html' FROM classified WHERE outcome = 'dlq'""",
-)
-def sanitize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packets = file_stream(spark, staged(raw_envelopes(spark, sf_dir), "raw"))
-    out, dlq = scratch_path(spark, "sanitized"), scratch_path(spark, "raw-dlq")
-    drain(stream_sanitize(packets, out, dlq, f"{out}-checkpoint", PAGE_MIN_BYTES, keep=("page_id",)))
+UNION ALL SELECT page_id, 'dlq', md5(value), NULL, 'empty_raw_html' FROM classified WHERE outcome = 'dlq'"""
+
+
+def _branches(spark: SparkSession, out: str, dlq: str) -> DataFrame:
     ok = spark.read.parquet(out).select(
         "page_id", F.lit("ok").alias("branch"), F.md5("text").alias("payload_md5"), "length", F.lit(None).cast("string").alias("error")
     )
@@ -97,6 +124,44 @@ def sanitize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ok.unionByName(dead)
 
 
+@query("stream_sanitize", _SANITIZED)
+def sanitize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packets = file_stream(spark, staged(raw_envelopes(spark, sf_dir), "raw"))
+    out, dlq = scratch_path(spark, "sanitized"), scratch_path(spark, "raw-dlq")
+    drain(stream_sanitize(packets, out, dlq, f"{out}-checkpoint", PAGE_MIN_BYTES, keep=("page_id",)))
+    return _branches(spark, out, dlq)
+
+
+def _lose_commit(spark: SparkSession, checkpoint: str, out: str) -> None:
+    """What a driver leaves that dies in the middle of a micro-batch: some of its files, and no note that it is done."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(checkpoint).getFileSystem(spark._jsc.hadoopConfiguration())
+    last = max(int(n) for s in files.listStatus(path(f"{checkpoint}/commits")) if (n := s.getPath().getName()).isdigit())
+    files.delete(path(f"{checkpoint}/commits/{last}"), False)
+    written = [s.getPath() for s in files.globStatus(path(f"{out}/run=*/batch_id={last}/*.parquet"))]
+    for file in written[: max(1, len(written) // 2)]:
+        files.delete(file, False)
+
+
+@query("stream_restart", _SANITIZED)
+def restarted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sanitizing stream, ended in mid-input and in the middle of a micro-batch, then started again: no row lost or twice."""
+    raw = raw_envelopes(spark, sf_dir)
+    source, out, dlq = (scratch_path(spark, n) for n in ("raw", "sanitized", "raw-dlq"))
+    half = F.pmod(F.xxhash64("page_id"), F.lit(2))
+
+    def run() -> None:
+        packets = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 2).parquet(source)
+        drain(stream_sanitize(packets, out, dlq, f"{out}-checkpoint", PAGE_MIN_BYTES, keep=("page_id",)))
+
+    raw.where(half == 0).repartition(4).write.parquet(source)
+    run()
+    _lose_commit(spark, f"{out}-checkpoint", out)
+    raw.where(half == 1).repartition(4).write.mode("append").parquet(source)
+    run()
+    return _branches(spark, out, dlq)
+
+
 @query(
     "stream_enrich",
     f"""WITH {PACKETS}
@@ -148,61 +213,78 @@ def _outcomes(events: DataFrame) -> DataFrame:
     )
 
 
+DAY = 86_400
+
 _DAILY = """
 ratios AS (
   SELECT user_id % 50 AS deployment, time_bucket(INTERVAL '1 day', ts) AS ts, count(*) FILTER (event_type = 'error') AS failures,
          count(*) FILTER (event_type <> 'error') AS processed FROM events GROUP BY ALL),
-closed AS (
-  SELECT *, CASE WHEN processed = 0 THEN 0 ELSE failures / processed END AS ratio FROM ratios
-  WHERE ts + INTERVAL '1 day' <= (SELECT max(ts) - INTERVAL '1 minute' FROM events))"""
+daily AS (SELECT *, CASE WHEN processed = 0 THEN 0 ELSE failures / processed END AS ratio FROM ratios)"""
+
+
+def _daily_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = _outcomes(stream_table(spark, sf_dir, "events"))
+    return run_to_end("ratios", lambda rows: stream_error_ratio(rows, DAY), (outcomes, "ts", {}))
 
 
 @query(
     "stream_error_ratio",
-    f"WITH {_DAILY} SELECT deployment, {sql_stamp('ts', 'ts')}, failures, processed, round(ratio, 9) AS ratio FROM closed",
+    f"WITH {_DAILY} SELECT deployment, {sql_stamp('ts', 'ts')}, failures, processed, round(ratio, 9) AS ratio FROM daily",
 )
 def error_ratio_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows the watermark has passed; an append-mode stream keeps the last one open."""
-    ratios = stream_error_ratio(_outcomes(stream_table(spark, sf_dir, "events")), 86_400)
-    return run_to_table(ratios, "ratios").select(
+    """All windows, the last one as well."""
+    return _daily_ratios(spark, sf_dir).select(
         "deployment", stamp_text("ts"), "failures", "processed", F.round("ratio", 9).alias("ratio")
     )
 
 
 @query(
     "stream_canary",
-    f"""WITH {_DAILY}, numbered AS (SELECT *, row_number() OVER (PARTITION BY deployment ORDER BY ts) AS n FROM closed),
+    f"""WITH {_DAILY}, numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY deployment ORDER BY ts) AS n, min(ts) OVER (PARTITION BY deployment) AS start FROM daily),
 seen AS (
-  SELECT *, min(CASE WHEN ratio > 0.25 * 3 THEN n END) OVER (PARTITION BY deployment) AS spike FROM numbered WHERE n <= 8),
+  SELECT *, min(CASE WHEN ratio > 0.25 * 3 THEN n END) OVER (PARTITION BY deployment) AS spike
+  FROM numbered WHERE n <= 8 AND ts < start + INTERVAL '8 days'),
 used AS (SELECT * FROM seen WHERE spike IS NULL OR n <= spike)
 SELECT CAST(deployment AS VARCHAR) AS deployment, count(*) AS samples, round(avg(ratio), 9) AS mean_ratio,
        CASE WHEN any_value(spike) IS NOT NULL THEN 'ROLLBACK_SPIKE' WHEN avg(ratio) > 0.25 THEN 'ROLLBACK_AVG' ELSE 'PROMOTE' END AS verdict
-FROM used GROUP BY deployment HAVING any_value(spike) IS NOT NULL OR count(*) = 8""",
+FROM used GROUP BY deployment""",
 )
 def canary_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts from a stream of daily ratios, itself the output of a stream."""
-    daily = run_to_table(stream_error_ratio(_outcomes(stream_table(spark, sf_dir, "events")), 86_400), "ratios")
-    ratios = daily.select(F.col("deployment").cast("string").alias("deployment"), "ts", "ratio")
-    # one micro-batch, so none is late; the first eight count, however many days lie between them
-    samples = spark.readStream.schema(ratios.schema).parquet(staged(ratios, "ratio-files"))
-    verdicts = stream_canary(samples, threshold=0.25, interval_s=86_400, timeout_s=None, delay="0 seconds")
-    return run_to_table(verdicts, "verdicts").withColumn("mean_ratio", F.round("mean_ratio", 9))
+    """Verdicts from a stream of daily ratios, itself the output of a stream: by a spike, eight samples, or eight days."""
+    ratios = _daily_ratios(spark, sf_dir).select(F.col("deployment").cast("string").alias("deployment"), "ts", "ratio")
+    path = staged_in_order(ratios, "ratio-files", "ts")
+    samples = spark.readStream.schema(ratios.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    # samples behind a gap wait for the watermark; files of a quarter of the time may come in any order
+    spans = ratios.agg((F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts"))) / 4).first()[0]
+
+    def verdicts(rows: DataFrame) -> DataFrame:
+        return stream_canary(rows, threshold=0.25, interval_s=DAY, timeout_s=8 * DAY, delay=f"{int(spans) + DAY} seconds")
+
+    found = run_to_end("verdicts", verdicts, (samples, "ts", {"deployment": "-", "ratio": 0.0}))
+    return found.withColumn("mean_ratio", F.round("mean_ratio", 9))
 
 
 @query(
     "stream_latency",
-    """SELECT page_id, CAST(30 + (page_id * 37) % 150 AS DOUBLE) AS latency_s FROM pages WHERE page_id % 7 <> 0""",
+    """SELECT page_id, CASE WHEN page_id % 7 <> 0 AND page_id % 11 <> 0 THEN CAST(30 + (page_id * 37) % 150 AS DOUBLE) END AS latency_s
+FROM pages""",
 )
 def latency_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latencies from a join of two streams on trace id, of the packets that were indexed."""
+    """Latencies from a join of two streams on trace id; of a packet that is indexed two hours later, or never, a null one."""
     n = F.col("page_id")
     pages = table(spark, sf_dir, "pages").select("page_id", make_traceparent("page_id").alias("traceparent"))
-    raw = pages.withColumn("collected_at", moment(n))
-    index = pages.where("page_id % 7 <> 0").withColumn("timestamp", moment(n + 30 + (n * 37) % 150))
-    # a replay without a limit per trigger is one micro-batch, so no row is late
-    starts = spark.readStream.schema(raw.schema).parquet(staged(raw, "starts"))
-    ends = spark.readStream.schema(index.schema).parquet(staged(index, "ends"))
-    found = run_to_table(stream_latency(starts, ends), "latency").where("latency_s IS NOT NULL")
+    raw = pages.withColumn("collected_at", moment(n).cast("timestamp"))
+    wait = F.when(n % 11 == 0, 7200).otherwise(30 + (n * 37) % 150)
+    index = pages.where("page_id % 7 <> 0").withColumn("timestamp", moment(n + wait).cast("timestamp"))
+    sides = []
+    for rows, time in ((raw, "collected_at"), (index, "timestamp")):
+        path = staged_in_order(rows, time, time)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+        sides.append((stream, time, {"traceparent": f"00-{'f' * 32}-{'f' * 16}-01"}))
+    span = raw.agg(F.unix_seconds(F.max("collected_at")) - F.unix_seconds(F.min("collected_at"))).first()[0]
+    # files of a quarter of the time may come in any order
+    found = run_to_end("latency", lambda a, b: stream_latency(a, b, delay=f"{span // 4 + 7200} seconds"), *sides)
     keys = pages.select("page_id", F.substring("traceparent", 4, 32).alias("trace_id"))
     return found.join(keys, "trace_id").select("page_id", "latency_s")
 

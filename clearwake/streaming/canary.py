@@ -22,7 +22,8 @@ def _observe(ratios: list[float], state: tuple, threshold: float, wanted: int):
         if done:
             break
         total, samples = total + ratio, samples + 1
-        if ratio > threshold * SPIKE_FACTOR:
+        # a ratio that is no number is no reason to go on
+        if not ratio <= threshold * SPIKE_FACTOR:
             return (total, samples, True), "ROLLBACK_SPIKE"
         if samples == wanted:
             verdict = "ROLLBACK_AVG" if total / samples > threshold else "PROMOTE"
@@ -52,7 +53,7 @@ def stream_canary(
     are one row per deployment and interval: raw events are counted per window beforehand, so no
     group grows with the traffic. Behind a gap of more than an interval samples wait until the watermark has passed
     them, so those of a later micro-batch take their place in time. When it has passed ``timeout_s`` after the first sample,
-    what came until then decides; with None only a spike or all samples do. Rows without a time are left out, and rows
+    what came until then decides; with None only a spike or all samples do. Rows without a time or a ratio are left out, and rows
     behind the watermark are dropped and counted as late. State per deployment is ``wanted_samples`` times and ratios.
     """
 
@@ -93,7 +94,7 @@ def stream_canary(
 
     return (
         ratios.select("deployment", "ts", "ratio")
-        .where("ts IS NOT NULL")
+        .where("ts IS NOT NULL AND ratio IS NOT NULL")
         .withWatermark("ts", delay)
         .groupBy("deployment")
         .applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)

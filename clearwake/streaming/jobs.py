@@ -8,6 +8,7 @@ which adds to the output of others: packets it reads again are stored again.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,33 @@ def _run(batch: DataFrame) -> str:
     return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
 
 
+#: Later than any row: a tick of this time ends a stream. Times in nanoseconds, as pandas has them, end in 2262.
+END_OF_TIME = datetime(2250, 1, 1)
+
+
+def with_ticks(rows: DataFrame, ticks: str) -> DataFrame:
+    """``rows`` and what ``tick`` writes to the folder ``ticks``, made if it isn't there.
+
+    A watermark only moves with rows, so the last windows of an input that has ended stay open. A tick is a row of its own
+    key whose time moves the watermark past them: the next run from the same checkpoint closes what is open, by the rules
+    that closed the rest. Rows that come after the final tick are late.
+    """
+    spark = rows.sparkSession
+    spark.createDataFrame([], rows.schema).write.mode("append").parquet(ticks)
+    return rows.unionByName(spark.readStream.schema(rows.schema).parquet(ticks))
+
+
+def tick(rows: DataFrame, ticks: str, time: str, at: datetime = END_OF_TIME, **marks) -> None:
+    """Write a tick for ``rows``: ``time`` is ``at``, ``marks`` are columns that must not be null, the others are.
+
+    The tick is a row for the operators too. Where it ends a stream its own window, or wait, is never over, so no result
+    comes of it.
+    """
+    values = {time: at, **marks}
+    columns = (F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema.fields)
+    rows.sparkSession.range(1).select(*columns).write.mode("append").parquet(ticks)
+
+
 def late_rows(progress) -> int:
     """Rows that a micro-batch dropped because they came behind the watermark, from a query's progress.
 
@@ -135,7 +163,9 @@ def stream_dedupe(links: DataFrame, delay: str = "1 hour", url: str = "url", tim
     """Each URL once within the watermark.
 
     Rows are first thinned per (URL, slice of their time), so a URL that is most of the input
-    reaches the final step as at most ``spread`` rows per interval.
+    reaches the final step as at most ``spread`` rows per interval. Both steps forget what is older than ``delay``, the first
+    one per slice. So a URL that comes back after ``delay`` may be held by its slice once more, where a single step would
+    let it through: its next row in another slice, or after that slice has expired, is given instead.
     """
     sliced = links.withColumn("_slice", F.pmod(F.xxhash64(time), F.lit(spread)))
     thinned = sliced.withWatermark(time, delay).dropDuplicatesWithinWatermark([url, "_slice"])

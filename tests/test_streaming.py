@@ -6,14 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from clearwake.operators.enrich import enrich
+from clearwake.operators.index import read_index
 from clearwake.operators.sanitize import classify_raw, split
-from clearwake.operators.telemetry import canary_verdict
-from clearwake.plans.stream_plans import drain, run_to_table
+from clearwake.operators.telemetry import canary_verdict, outcome_ratio
+from clearwake.plans.stream_plans import drain, run_to_end, run_to_table
 from clearwake.session import scratch_path
 from clearwake.sources.readers import read_raw
 from clearwake.streaming.canary import _observe, stream_canary
 from clearwake.sources.writers import write_batch
-from clearwake.streaming.jobs import stream_dedupe, stream_enrich, stream_error_ratio, stream_latency, stream_sanitize
+from clearwake.streaming.jobs import stream_dedupe, stream_enrich, stream_error_ratio, stream_index, stream_latency, stream_sanitize
 from test_operations import VERDICTS
 from test_packets import RAW, SANITIZED
 
@@ -191,3 +192,40 @@ def test_dedupe(spark):
         put(spark.createDataFrame(rows, schema), source)
     found = sorted(r["url"] for r in run_to_table(stream_dedupe(stream(spark, source, schema)), "urls").collect())
     assert found == sorted(["hub", "twice"] + [f"u{s + i}" for s in (0, 100, 200) for i in range(3)])
+
+
+def test_last_windows_are_closed_at_the_end(spark):
+    """Every window of the batch form, and nothing of the tick itself."""
+    source = scratch_path(spark, "in")
+    schema = "deployment string, ts timestamp, failed boolean"
+    rows = spark.createDataFrame([(d, at(s), s % 3 == 0) for d in ("a", "b", None) for s in range(0, 400, 7)], schema)
+    for part in range(4):
+        put(rows.where(F.floor(F.unix_seconds("ts") % 400 / 100) == part), source)
+    put(rows.where("false"), source)
+    found = run_to_end("ratios", stream_error_ratio, (stream(spark, source, schema), "ts", {}))
+    want = outcome_ratio(rows)
+    assert same(found, want) and found.where("deployment IS NULL").count()
+
+
+def test_canary_drops_nulls_and_fails_closed(spark):
+    schema = "deployment string, ts timestamp, ratio double"
+    source = scratch_path(spark, "in")
+    rows = [("null", 0, None), ("null", 15, 0.14), ("null", 30, None), ("null", 45, 0.14), ("nan", 0, 0.0), ("nan", 15, float("nan"))]
+    put(spark.createDataFrame([(d, at(s), r) for d, s, r in rows], schema), source)
+    build = lambda r: stream_canary(r, 0.05, 4)
+    found = run_to_end("verdicts", build, (stream(spark, source, schema), "ts", {"deployment": "-", "ratio": 0.0})).collect()
+    assert {r["deployment"]: (r["verdict"], r["samples"]) for r in found} == {"null": ("ROLLBACK_AVG", 2), "nan": ("ROLLBACK_SPIKE", 2)}
+
+
+def test_index_of_two_runs(spark):
+    """A packet in two micro-batches and in two checkpoints is one row; the newest run's values count."""
+    packets = packet_frame(spark, [r[0] for r in SANITIZED])
+    root, dlq = scratch_path(spark, "root"), scratch_path(spark, "dlq")
+    for run, model in enumerate(("m1", "m2")):
+        source = scratch_path(spark, "in")
+        for part in (packets, packets.where("id % 2 = 0")):
+            put(part, source)
+        options = {"id_column": "id", "model_version": model, "now": at(run)}
+        drain(stream_index(stream(spark, source, PACKET), root, "v1", dlq, scratch_path(spark, "ckpt"), "docs", **options))
+    want = enrich(packets, id_column="id", model_version="m2", now=at(1), schema_version="v1").ok
+    assert same(read_index(spark, root, alias="docs"), want.select(*read_index(spark, root, "v1").columns))
