@@ -48,15 +48,19 @@ class Node:
 
 
 def build(sizes: np.ndarray, bitmaps: list[np.ndarray]) -> Node | None:
-    """A tree over members; neighbours in size, then in bits, share leaves."""
+    """A tree over members; neighbours in size, then in bits, share leaves.
+
+    All bitmaps of a leaf have one width: folded onto that of a much smaller set, large sets would all look alike.
+    """
     if not len(sizes):
         return None
     order = sorted(range(len(sizes)), key=lambda i: (sizes[i], bitmaps[i].tobytes()))
-    nodes = []
-    for at in range(0, len(order), LEAF):
-        members = np.array(order[at : at + LEAF])
-        words = min(len(bitmaps[i]) for i in members)
-        rows = np.stack([fold(bitmaps[i], words) for i in members])
+    nodes, leaves = [], []
+    widths = np.array([len(bitmaps[i]) for i in order])
+    for run in np.split(np.array(order), np.flatnonzero(np.diff(widths)) + 1):
+        leaves += [run[at : at + LEAF] for at in range(0, len(run), LEAF)]
+    for members in leaves:
+        rows = np.stack([bitmaps[i] for i in members])
         own = sizes[members]
         clashes = own - _count(rows)
         nodes.append(
