@@ -68,21 +68,22 @@ def match_route(path: Column | str, routes: Sequence[Route] = GATEWAY_ROUTES) ->
 def match_route_table(requests: DataFrame, routes: DataFrame, path: str = "path") -> DataFrame:
     """``match_route`` for a route table ``(prefix, exact, required_role)`` of any size.
 
-    Every distinct path is matched once, by equality of its own prefixes with route prefixes, so
-    there is no theta join. A prefix shared by all paths is skew on the large side only, which
-    Spark splits. Adds the column ``route``.
+    Every distinct path is matched once, by equality: as a whole with exact routes, and cut to each length that a prefix
+    of the table has with the others. So a path gives as many rows as there are lengths, however long it is, and there is no
+    theta join. A prefix shared by all paths is skew on the large side only, which Spark splits. Adds the column ``route``.
     """
+    sizes = routes.where(~F.col("exact")).agg(F.collect_set(F.length("prefix"))).first()[0]
+    lengths = F.array(*(F.lit(n) for n in sorted(sizes))).cast("array<int>")
     paths = requests.select(F.col(path).alias("_path")).where("_path IS NOT NULL").distinct()
-    prefixes = paths.select(
-        "_path",
-        F.explode(
-            F.transform(F.sequence(F.lit(1), F.greatest(F.length("_path"), F.lit(1))), lambda n: F.substring(F.col("_path"), F.lit(1), n))
-        ).alias("prefix"),
+    cuts = F.transform(
+        F.filter(lengths, lambda n: n <= F.length("_path")),
+        lambda n: F.struct(F.substring(F.col("_path"), F.lit(1), n).alias("prefix"), F.lit(False).alias("exact")),
     )
+    whole = F.array(F.struct(F.col("_path").alias("prefix"), F.lit(True).alias("exact")))
     rank = F.struct(F.col("exact").cast("int"), F.length("prefix"))
     best = (
-        prefixes.join(routes, "prefix")
-        .where(~F.col("exact") | (F.col("prefix") == F.col("_path")))
+        paths.select("_path", F.inline(F.concat(cuts, whole)))
+        .join(routes, ["prefix", "exact"])
         .groupBy("_path")
         .agg(F.max_by(F.struct("prefix", "exact", "required_role"), rank).alias("route"))
     )

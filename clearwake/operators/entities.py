@@ -26,6 +26,8 @@ Extractor = Callable[[DataFrame, str], DataFrame]
 MAX_PATTERN_PHRASES = 500
 # A dictionary of up to this many phrases is broadcast.
 BROADCAST_PHRASES = 100_000
+#: Slots of the filter that n-grams pass first, a power of two.
+FILTER_SLOTS = 1 << 20
 
 
 def blank_extractor(df: DataFrame, text: str = "text") -> DataFrame:
@@ -62,6 +64,23 @@ def gazetteer_extractor(
     return extract
 
 
+def _phrase_filter(known: DataFrame) -> Callable[[Column], Column]:
+    """Whether a phrase may be in the dictionary: false for nearly all that are not, true for all that are.
+
+    A byte for each of up to ``FILTER_SLOTS`` hash values, as a constant of the plan.
+    """
+    slots = 1 << min(FILTER_SLOTS.bit_length() - 1, max(10, (16 * known.count()).bit_length()))
+
+    def slot(phrase: Column | str) -> Column:
+        return F.pmod(F.xxhash64(phrase), F.lit(slots)).cast("int")
+
+    taken = bytearray(slots)
+    # at most FILTER_SLOTS numbers
+    for row in known.select(slot("phrase").alias("slot")).distinct().toArrow().column("slot").to_pylist():
+        taken[row] = 1
+    return lambda phrase: F.substring(F.lit(taken), slot(phrase) + 1, 1) == F.lit(bytearray(b"\x01"))
+
+
 def gazetteer_join(
     df: DataFrame,
     dictionary: DataFrame,
@@ -72,8 +91,9 @@ def gazetteer_join(
 ) -> DataFrame:
     """Same matches from a dictionary table ``(phrase, type)`` of any size.
 
-    Word n-grams are joined with the dictionary, so a frequent phrase is only a frequent join
-    key on the large side (Spark broadcasts a small dictionary, or splits a skewed partition).
+    Word n-grams that can't be in the dictionary are left out inside the row, by a filter of its hashes, so what is joined
+    and exchanged grows with the hits and not with the text. The rest is joined with the dictionary: a frequent phrase is
+    only a frequent join key on the large side (Spark broadcasts a small dictionary, or splits a skewed partition).
     Only hits are grouped per document. Words are separated by single spaces; ``key`` must
     identify a row.
     """
@@ -84,6 +104,7 @@ def gazetteer_join(
         .agg(F.min("type").alias("type"))
     )
     known = broadcast_if_small(known, BROADCAST_PHRASES)
+    possible = _phrase_filter(known)
     # words and the gaps between them alternate, so neighbours can be checked in place
     words = df.select(
         F.col(key),
@@ -103,16 +124,13 @@ def gazetteer_join(
                 whole, F.struct(p.alias("pos"), F.lit(n).alias("n"), phrase.alias("phrase"))
             )
 
-        return F.transform(places, at)
+        return F.filter(F.transform(places, at), lambda g: g.isNotNull() & possible(g["phrase"]))
 
-    if max_words == 1:
-        grams = words.select(key, F.lit(1).alias("_n"), F.posexplode("_w").alias("_pos", "phrase"))
-    else:
-        every = F.concat(*(phrases_of(n) for n in range(1, max_words + 1)))
-        spread_out = words.select(key, F.explode(every).alias("_g")).where("_g IS NOT NULL")
-        grams = spread_out.select(
-            key, F.col("_g.pos").alias("_pos"), F.col("_g.n").alias("_n"), F.col("_g.phrase").alias("phrase")
-        )
+    every = F.concat(*(phrases_of(n) for n in range(1, max_words + 1)))
+    spread_out = words.select(key, F.explode(every).alias("_g"))
+    grams = spread_out.select(
+        key, F.col("_g.pos").alias("_pos"), F.col("_g.n").alias("_n"), F.col("_g.phrase").alias("phrase")
+    )
     # a merge hint gives way to a broadcast one, and keeps Spark from broadcasting the n-grams
     hits = grams.hint("merge").join(known, "phrase").groupBy(key).agg(
         F.array_sort(

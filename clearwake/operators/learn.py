@@ -59,10 +59,13 @@ class ForestModel:
 
     def transform(self, df: DataFrame, text: str = "text") -> DataFrame:
         """A row without text or entities has no label."""
-        inputs = with_features(df, text)
+        return self._predict(with_features(df, text)).select(*df.columns, "ml_label")
+
+    def _predict(self, inputs: DataFrame) -> DataFrame:
         whole = reduce(and_, (F.col(c).isNotNull() for c in FEATURES))
         filled = inputs.withColumn("_whole", whole).fillna(0, list(FEATURES))
-        return self.fitted.transform(filled).select(*df.columns, F.when(F.col("_whole"), F.col("ml_label")).alias("ml_label"))
+        named = F.when(F.col("_whole"), F.col("ml_label")).alias("ml_label")
+        return self.fitted.transform(filled).select(*inputs.columns, named)
 
     @property
     def feature_importances(self) -> dict[str, float]:
@@ -74,7 +77,13 @@ class ForestModel:
 
 
 def train_forest(cases: DataFrame, label: str = "expected_label", text: str = "text") -> ForestModel:
-    rows = _weighted(with_features(cases, text), label)
+    """A forest of the rows that have a text, entities and a label."""
+    return _fit_forest(with_features(cases, text), label)
+
+
+def _fit_forest(features: DataFrame, label: str) -> ForestModel:
+    whole = reduce(and_, (F.col(c).isNotNull() for c in (*FEATURES, label)))
+    rows = _weighted(features.where(whole), label)
     indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
     stages = [
         VectorAssembler(inputCols=list(FEATURES), outputCol="_features"),
@@ -106,6 +115,26 @@ def train_accuracy(model, cases: DataFrame, label: str = "expected_label") -> Da
     return model.transform(cases).agg(F.avg((F.col("ml_label") == F.col(label)).cast("double")).alias("accuracy"))
 
 
+def out_of_fold(cases: DataFrame, k: int, label: str = "expected_label", key: str = "id", text: str = "text") -> DataFrame:
+    """``key, label, fold, ml_label`` of every row, predicted by a forest of the other folds.
+
+    Features and folds are computed once and stored; texts are not read again for any of the ``k`` fits.
+    """
+    folded = stratified_folds(cases, k, label, key)
+    stored = cut_lineage(with_features(folded, text).select(key, label, "fold", *FEATURES))
+    parts = []
+    for i in range(1, k + 1):
+        model = _fit_forest(stored.where(F.col("fold") != i), label)
+        parts.append(model._predict(stored.where(F.col("fold") == i)).select(key, label, "fold", "ml_label"))
+    return cut_lineage(reduce(DataFrame.unionByName, parts))
+
+
+def fold_report(predictions: DataFrame, label: str = "expected_label") -> DataFrame:
+    """``fold, rows, accuracy`` of ``out_of_fold``; a row without a prediction is wrong."""
+    right = F.coalesce(F.col("ml_label") == F.col(label), F.lit(False)).cast("double")
+    return predictions.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.avg(right).alias("accuracy"))
+
+
 def cross_validate(
     cases: DataFrame, k: int, train: Callable[[DataFrame], object], label: str = "expected_label", key: str = "id"
 ) -> DataFrame:
@@ -213,18 +242,21 @@ class TextModel:
         if key not in df.columns:
             content = F.when(F.col(text).isNotNull(), F.sha2(enriched_text(text, "entities"), 256))
             return self.transform(df.withColumn(key, content), key, text).drop(key)
-        source = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, enriched_text(text, "entities").alias("_text"))
-        source = source.dropDuplicates([key])
-        counts = term_counts(term_rows(source, key, "_text"), self.vocab, key)
-        rows = _vectors(source, weigh(counts, self.vocab, key), self.size, key)
+        # a key may repeat with other texts, so rows are told apart by both
+        content = F.sha2(enriched_text(text, "entities"), 256)
+        own = F.when(F.col(text).isNotNull() & F.col(key).isNotNull(), F.sha2(F.concat_ws("\0", F.col(key).cast("string"), content), 256))
+        named = df.withColumn("_row", own)
+        source = named.where("_row IS NOT NULL").select("_row", enriched_text(text, "entities").alias("_text")).dropDuplicates(["_row"])
+        counts = term_counts(term_rows(source, "_row", "_text"), self.vocab, "_row")
+        rows = _vectors(source, weigh(counts, self.vocab, "_row"), self.size, "_row")
         names = F.array(*(F.lit(name) for name in self.labels))
         scored = self.classifier.transform(rows)
         predicted = scored.select(
-            key,
+            "_row",
             F.get(names, F.col("prediction").cast("int")).alias("ml_label"),
             F.floor(F.array_max(vector_to_array("probability")) * 100).cast("int").alias("confidence"),
         )
-        return df.join(predicted, key, "left")
+        return named.join(predicted, "_row", "left").drop("_row")
 
     def save(self, path: str) -> None:
         self.classifier.write().overwrite().save(f"{path}/classifier")
@@ -245,6 +277,8 @@ def _vectors(keys: DataFrame, weights: DataFrame, size: int, key: str) -> DataFr
 def train_text(
     cases: DataFrame, label: str = "expected_label", key: str = "id", text: str = "text", size: int = VOCABULARY
 ) -> TextModel:
+    """A model of the rows that have a key, a text and a label."""
+    cases = cases.where(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(label).isNotNull())
     source = cases.select(key, enriched_text(text, "entities").alias("_text"))
     counts, terms = _fit_terms(source, key, "_text", size)
     # a vocabulary is short enough to be numbered in one task

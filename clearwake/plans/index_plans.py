@@ -30,7 +30,15 @@ from clearwake.operators.index import (
     write_index,
 )
 from clearwake.operators.index_log import history
-from clearwake.operators.learn import tfidf, train_forest, train_text
+from clearwake.operators.learn import (
+    fold_report,
+    load_model,
+    load_text_model,
+    out_of_fold,
+    tfidf,
+    train_forest,
+    train_text,
+)
 from clearwake.operators.quality import (
     class_counts,
     evaluate,
@@ -40,6 +48,7 @@ from clearwake.operators.quality import (
     stratified_folds,
     top_failures,
 )
+from clearwake.operators.ranking import bm25, read_term_index, term_index, write_term_index
 from clearwake.plans.inputs import INDEXED, RULED, SEEDED, indexed_docs, moment, seeded_docs
 from clearwake.plans.registry import query, table
 from clearwake.session import scratch_path
@@ -90,6 +99,29 @@ def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.unionByName(text_match(index, ["login", "nicht"], every=False).select("id", F.lit("any").alias("mode")))
 
 
+@query(
+    "ranked_match",
+    f"""WITH {INDEXED}, words AS (SELECT id, {_WORDS} AS w FROM indexed),
+queries AS (
+  SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))) AS term FROM benchmark),
+totals AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM words WHERE len(w) > 0),
+postings AS (SELECT id, len(w) AS length, term, count(*) AS tf FROM (SELECT id, w, unnest(w) AS term FROM words) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+scores AS (
+  SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf
+         / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 9) AS score
+  FROM queries JOIN postings USING (term) JOIN dfs USING (term), totals GROUP BY query_id, id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM scores)
+SELECT query_id, CAST(place AS INTEGER) AS rank, id, round(score, 6) AS score FROM ranked WHERE place <= 10""",
+)
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item, from a stored term index."""
+    path = scratch_path(spark, "terms")
+    write_term_index(term_index(indexed_docs(spark, sf_dir)), path)
+    queries = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+    return bm25(read_term_index(spark, path), queries).withColumn("score", F.round("score", 6))
+
+
 @query(
     "date_histogram",
     f"WITH {INDEXED} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS bucket, risk_label, count(*) AS documents FROM indexed GROUP BY ALL",
@@ -353,6 +385,58 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfidf(table(spark, sf_dir, "documents"), "doc_id").withColumn("weight", F.round("weight", 6))
 
 
+def clean_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cases`` without wrong labels."""
+    return cases(spark, sf_dir).where("expected_label <> 'UNKNOWN'")
+
+
+_CLEAN = f"{_CASES}, clean AS (SELECT id, expected_label FROM cases WHERE expected_label <> 'UNKNOWN')"
+
+
+@query("forest_fit", f"WITH {_CLEAN} SELECT id, expected_label, expected_label AS ml_label FROM clean")
+def forest_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored forest, trained on labels that follow from the features, gives every row its label; rows without text none."""
+    labelled = clean_cases(spark, sf_dir)
+    blank = labelled.withColumns({"id": F.col("id") + F.lit(1 << 40), "text": F.lit(None).cast("string")})
+    path = scratch_path(spark, "forest")
+    train_forest(labelled.unionByName(blank)).save(path)
+    predicted = load_model(path).transform(labelled.unionByName(blank))
+    return predicted.select("id", "expected_label", "ml_label").where((F.col("id") < F.lit(1 << 40)) | F.col("ml_label").isNotNull())
+
+
+@query(
+    "text_fit",
+    """WITH marked AS (SELECT doc_id AS id, ['low', 'mid', 'top'][1 + doc_id % 3] AS expected_label FROM documents)
+SELECT id, expected_label, expected_label AS ml_label FROM marked""",
+)
+def text_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored text model, trained on texts that name their class, gives every row its label."""
+    n = F.col("doc_id")
+    name = F.when(n % 3 == 0, "low").when(n % 3 == 1, "mid").otherwise("top")
+    marked = table(spark, sf_dir, "documents").select(
+        n.alias("id"),
+        F.concat_ws(" ", *[F.concat(F.lit("class"), name)] * 12, F.substring("source", 1, 4)).alias("text"),
+        F.array().cast("array<struct<text:string,type:string>>").alias("entities"),
+        name.alias("expected_label"),
+    )
+    path = scratch_path(spark, "text-model")
+    train_text(marked).save(path)
+    return load_text_model(spark, path).transform(marked).select("id", "expected_label", "ml_label")
+
+
+@query(
+    "out_of_fold",
+    f"""WITH {_CLEAN}
+SELECT id, expected_label, ntile(3) OVER (PARTITION BY expected_label ORDER BY id) AS fold, expected_label AS ml_label, 1.0 AS fold_accuracy
+FROM clean""",
+)
+def folded_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row predicted by the forest that has not seen its fold, with that fold's accuracy."""
+    found = out_of_fold(clean_cases(spark, sf_dir), 3)
+    report = fold_report(found).select("fold", F.round("accuracy", 9).alias("fold_accuracy"))
+    return found.join(F.broadcast(report), "fold").select("id", "expected_label", "fold", "ml_label", "fold_accuracy")
+
+
 @query("forest_predict")
 def forest_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forest trained on the labelled documents, applied to them."""
