@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clearwake.functions.risk import featurize, label_to_score, risk_label
-from clearwake.functions.text import enriched_text
+from clearwake.functions.text import RISK_KEYWORDS, enriched_text
 from clearwake.operators.enrich import enrich_text, score, score_rules
 from clearwake.operators.entities import blank_extractor, gazetteer_extractor, gazetteer_join, model_extractor
 from clearwake.operators.learn import (
@@ -36,22 +36,22 @@ BOUNDARIES = [
     ("password admin login secret", [P, O], 50, "CRITICAL"),
 ]
 
-# own sentences in the form of a regression pack: three per label
-PACK = [
-    ("calm-1", "Neighbours met to plan the summer fair.", [], "LOW"),
-    ("calm-2", "Rain is expected over the hills on Sunday.", [], "LOW"),
-    ("calm-3", "The choir rehearsed two new songs.", [], "LOW"),
-    ("one-1", "Someone wrote the password on the board.", [], "MEDIUM"),
-    ("one-2", "The admin desk moved to the second floor.", [], "MEDIUM"),
-    ("one-3", "The yearly summary was read aloud.", [P, O], "MEDIUM"),
-    ("more-1", "The admin login and a secret were leaked by a visitor.", [P], "HIGH"),
-    ("more-2", "Found in the drawer: one key, a note marked secret, and a password that had leaked.", [], "HIGH"),
-    ("more-3", "Login pages were copied in several towns.", [P, O, G], "HIGH"),
-    ("dense-1", "Our db_pass leaked, so did a key; the admin keeps each login, password and secret confidential.", [], "CRITICAL"),
-    ("dense-2", "Sheets with a key, the db_pass and one secret: leaked by an admin who lost a password.", [P, P, O, G], "CRITICAL"),
-    ("dense-3", "A confidential memo listed a login, the db_pass, a leaked key, a secret and an admin password.", [O, P], "CRITICAL"),
-]
-PACK_SCORES = [0, 0, 0, 10, 10, 10, 45, 40, 25, 80, 80, 90]
+def grid():
+    """``name, text, entities, score, label`` for numbers of keywords and entities around the label floors 1, 20 and 50."""
+    rows = []
+    for hits, people in [(0, 0)] * 5 + [(0, 1), (0, 3), (1, 0), (1, 1), (0, 4), (1, 2), (2, 0), (4, 1), (4, 2), (5, 0), (6, 3), (8, 0), (8, 2)]:
+        n = len(rows)
+        # neighbouring keywords of the list, from another start in each row
+        chosen = [RISK_KEYWORDS[(3 * n + i) % len(RISK_KEYWORDS)] for i in range(hits)]
+        text = f"row {n}: " + ", ".join([*chosen, *["plain", "words", "only"][: 1 + n % 3]])
+        points = 10 * hits + 5 * people
+        label = "CRITICAL" if points >= 50 else "HIGH" if points >= 20 else "MEDIUM" if points else "LOW"
+        rows.append((f"grid-{n:02}", text, [(P, O, G)[i % 3] for i in range(people)], points, label))
+    return rows
+
+
+PACK = [(name, text, entities, label) for name, text, entities, _, label in grid()]
+PACK_SCORES = [points for *_, points, _ in grid()]
 
 
 def frame(spark, rows):
@@ -76,12 +76,12 @@ def test_pack_scores(spark):
 
 def test_evaluation_gate(spark):
     cases = frame(spark, PACK)
-    assert tuple(evaluate(cases).first()) == (12, 12, 1.0, True)
+    assert tuple(evaluate(cases).first()) == (18, 18, 1.0, True)
     assert failures(cases).count() == 0
     wrong = frame(spark, [(n, t, e, "LOW") for n, t, e, _ in PACK])
-    assert tuple(evaluate(wrong).first()) == (12, 3, 0.25, False)
+    assert tuple(evaluate(wrong).first()) == (18, 5, pytest.approx(5 / 18), False)
     first = failures(wrong).orderBy("name").first()
-    assert tuple(first) == ("dense-1", "LOW", "CRITICAL", 80)
+    assert tuple(first) == ("grid-05", "LOW", "MEDIUM", 5)
     assert tuple(evaluate(cases.limit(0)).first()) == (0, 0, 0.0, False)
 
 
@@ -166,8 +166,9 @@ def test_label_metrics(spark):
 
 
 def test_class_counts_and_folds(spark):
-    counts = class_counts(frame(spark, PACK[:11])).collect()
-    assert {r["label"]: r["n"] for r in counts}["CRITICAL"] == 2
+    few = [row for row in PACK if row[3] != "CRITICAL"] + [row for row in PACK if row[3] == "CRITICAL"][:2]
+    counts = class_counts(frame(spark, few)).collect()
+    assert {r["label"]: r["n"] for r in counts} == {"LOW": 5, "MEDIUM": 4, "HIGH": 4, "CRITICAL": 2}
     assert {(r["smallest"], r["folds"]) for r in counts} == {(2, 2)}
     rows = [(i, "A" if i < 10 else "B") for i in range(12)]
     folded = stratified_folds(spark.createDataFrame(rows, "id long, expected_label string"), 4)
