@@ -207,6 +207,7 @@ def _link_bundle(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
                 if group[i] != group[j] and similar(sets[i], sets[j]):
                     found.append((nodes[i], nodes[j]))
                     group[group == group[j]] = group[i]
+    wa.release()
     yield pa.RecordBatch.from_arrays(_edges(found), schema=_EDGE_SCHEMA)
 
 
@@ -246,6 +247,7 @@ def _candidates(best_only: bool):
             if best_only and len(chosen_pairs) < seen:
                 fuller.add(int(numbers["cell"][0]))
         found = list(set(found))
+        wa.release()
         yield pa.RecordBatch.from_arrays(
             [
                 *(pa.concat_arrays([x, pa.nulls(len(fuller), pa.int64())]) for x in _edges(found)),
@@ -280,6 +282,8 @@ def _check_bundle(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
             sets[node.as_py()] = np.frombuffer(shingles.as_buffer(), np.uint64)
             partners[node.as_py()] = others.as_py() or []
     kept = [(a, b) for a, others in partners.items() for b in others if similar(sets[a], sets[b])]
+    sets.clear()
+    wa.release()
     yield pa.RecordBatch.from_arrays(_edges(kept), schema=_EDGE_SCHEMA)
 
 

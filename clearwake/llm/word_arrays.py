@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +14,11 @@ import pyarrow.compute as pc
 # hundred times as much.
 SLICE_BYTES = 1 << 20
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 IDENTITY = np.arange(256, dtype=np.uint8)
@@ -49,6 +55,14 @@ def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Itera
         total += size
     if first < len(sizes):
         yield first, len(sizes)
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system. Workers outlive their tasks, next to those of other stages and to the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
