@@ -21,6 +21,8 @@ K1 = 1.2
 B = 0.75
 #: Scores are compared, and given, with so many digits, as sums of floats depend on their order.
 DIGITS = 9
+#: Query terms that are broadcast; more are joined by shuffle.
+MOST_TERMS = 10_000
 
 
 class TermIndex(NamedTuple):
@@ -29,12 +31,19 @@ class TermIndex(NamedTuple):
     totals: DataFrame
 
 
-def term_index(documents: DataFrame, key: str = "id", field: str = "content") -> TermIndex:
-    """Postings of lower-cased words. A row without words, or with a null text, is no document; ``key`` identifies a row."""
+def term_index(documents: DataFrame, key: str = "id", field: str = "content", only: DataFrame | None = None) -> TermIndex:
+    """Postings of lower-cased words. A row without words, or with a null text, is no document; ``key`` identifies a row.
+
+    With ``only`` (queries with a ``text``) postings of other words than theirs are left out before words are counted and
+    exchanged; scores of these queries are the same.
+    """
     words = documents.select(F.col(key).alias("id"), word_tokens(field).alias("_w")).where(F.size("_w") > 0)
+    rows = words.select("id", F.size("_w").alias("length"), F.explode("_w").alias("term"))
+    if only is not None:
+        wanted = only.select(F.explode(word_tokens("text")).alias("term")).distinct()
+        rows = rows.join(broadcast_if_small(wanted, MOST_TERMS), "term", "left_semi")
     postings = (
-        words.select("id", F.size("_w").alias("length"), F.explode("_w").alias("term"))
-        .groupBy("term", "id", "length")
+        rows.groupBy("term", "id", "length")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     totals = words.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(F.size("_w")), F.lit(0)).alias("length"))
@@ -51,7 +60,7 @@ def read_term_index(spark: SparkSession, path: str) -> TermIndex:
     return TermIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals"))
 
 
-def bm25(index: TermIndex, queries: DataFrame, k: int = 10, most_queries: int = 10_000) -> DataFrame:
+def bm25(index: TermIndex, queries: DataFrame, k: int = 10, most_queries: int = MOST_TERMS) -> DataFrame:
     """``query_id, rank, id, score`` of the ``k`` best documents of every query (``query_id, text``).
 
     A query's terms count once. Equal scores are ordered by id; a query whose terms no document holds has no rows. Up to

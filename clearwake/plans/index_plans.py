@@ -115,10 +115,10 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(place AS INTEGER) AS rank, id, round(score, 6) AS score FROM ranked WHERE place <= 10""",
 )
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best documents for every benchmark item, from a stored term index."""
+    """The ten best documents for every benchmark item, from a stored index of the items' words."""
     path = scratch_path(spark, "terms")
-    write_term_index(term_index(indexed_docs(spark, sf_dir)), path)
     queries = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+    write_term_index(term_index(indexed_docs(spark, sf_dir), only=queries), path)
     return bm25(read_term_index(spark, path), queries).withColumn("score", F.round("score", 6))
 
 

@@ -43,6 +43,8 @@ def test_bm25(spark):
         for rank, (score, i) in enumerate(sorted(scores)[:5], 1):
             want[(q, rank)] = (i, pytest.approx(-score))
     assert {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in found.collect()} == want and (3, 1) not in want
+    asked = spark.createDataFrame(queries, "query_id int, text string")
+    assert sorted(bm25(term_index(frame, only=asked), asked, 5).collect()) == sorted(found.collect())
     # only the queries' terms are read
     pruned = read_term_index(spark, path).postings.where(F.col("term").isin("alpha"))
     assert "In(term" in (p := pruned._jdf.queryExecution().executedPlan().toString()) or "EqualTo(term" in p
