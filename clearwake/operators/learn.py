@@ -6,25 +6,30 @@ from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from clearwake.functions.risk import FEATURES, featurize
+from clearwake.functions.staging import pin
 from clearwake.functions.text import enriched_text, word_tokens
 from clearwake.operators.quality import stratified_folds
-from clearwake.session import cut_lineage
+from clearwake.session import cut_lineage, scratch_path
 
 # Model settings.
 FOREST_TREES = 100
 FOREST_DEPTH = 5
 FOREST_SEED = 42
 VOCABULARY = 5_000
+#: Places that terms are counted in by hash, and how many places for each wanted term are looked at first.
+TERM_PLACES = 1 << 18
+PLACES_PER_TERM = 4
 LR_ITERATIONS = 1_000
 LR_C = 1.0
 TEXT_MAX_FOLDS = 5
@@ -161,11 +166,8 @@ def cross_validate(
 
 
 def term_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, term``: words of two or more characters and their bigrams, one row per occurrence.
-
-    Rows are hashed by key once, so that counting and summing per key need no further shuffle.
-    """
-    words = df.select(key, text).repartition(key).select(key, word_tokens(text, 2).alias("word"))
+    """``key, term``: words of two or more characters and their bigrams, one row per occurrence."""
+    words = df.select(key, word_tokens(text, 2).alias("word"))
     following = F.slice("word", F.lit(2), F.size("word")).alias("next")
     pairs = words.select(key, F.inline(F.arrays_zip("word", following)).alias("word", "next"))
     bigram = F.concat("word", F.lit(" "), "next")  # null after the last word
@@ -173,48 +175,106 @@ def term_rows(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def top_terms(rows: DataFrame, size: int = VOCABULARY) -> DataFrame:
-    """``term``: the most frequent terms, ties in term order; at most ``size`` rows."""
-    counted = rows.groupBy("term").agg(F.count(F.lit(1)).alias("_cf"))
-    return counted.orderBy(F.desc("_cf"), "term").limit(size).select("term")
+    """``term``: the most frequent terms, ties in term order; at most ``size`` rows.
+
+    Occurrences are first counted in ``TERM_PLACES`` places, by hash, so no task holds all terms. The terms of the fullest
+    places are counted one by one. A place with fewer occurrences than the last term found has no better one; if others are
+    left, they are counted too.
+    """
+    place = F.pmod(F.xxhash64("term"), F.lit(TERM_PLACES)).alias("_place")
+    places = cut_lineage(rows.groupBy(place).agg(F.count(F.lit(1)).alias("_n")))
 
+    def best(chosen: DataFrame) -> DataFrame:
+        # at most TERM_PLACES numbers
+        possible = rows.select("term", place).join(F.broadcast(chosen.select("_place")), "_place", "left_semi")
+        counted = possible.groupBy("term").agg(F.count(F.lit(1)).alias("_cf"))
+        return cut_lineage(counted.orderBy(F.desc("_cf"), "term").limit(size))
 
-def vocabulary(counts: DataFrame, documents: int) -> DataFrame:
-    """``term, idf`` of per-row term counts: one row per term counted."""
-    idf = F.log((1.0 + documents) / (1.0 + F.count(F.lit(1)))) + 1.0
-    return counts.groupBy("term").agg(idf.alias("idf"))
+    fullest = cut_lineage(places.orderBy(F.desc("_n"), "_place").limit(PLACES_PER_TERM * size))
+    found = best(fullest)
+    least = found.agg(F.min("_cf")).first()[0] if found.count() == size else 0
+    left = places.where(F.col("_n") >= least)
+    if not left.join(fullest, "_place", "left_anti").isEmpty():
+        found = best(left)
+    return found.select("term")
 
 
-def term_counts(rows: DataFrame, terms: DataFrame, key: str) -> DataFrame:
-    """``key, term, tf`` of the terms in a vocabulary.
+def _listed(terms: DataFrame, order: str) -> list[str]:
+    """The terms of a vocabulary, which is cut to a fixed number of rows."""
+    return [r["term"] for r in terms.orderBy(order).select("term").collect()]
 
-    A vocabulary is cut to a fixed number of rows, so broadcasting it does not follow the data.
-    Joining before counting keeps the many rare terms out of the aggregation.
-    """
-    known = rows.join(F.broadcast(terms.select("term")), "term")
-    return known.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
+def term_entries(df: DataFrame, terms: list[str], text: str, *keep: str) -> DataFrame:
+    """``keep`` columns and ``entries``: index and count of the listed terms in a text, by index.
 
-def weigh(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """Term counts with ``weight``: sublinear tf times idf, unit length per key."""
-    raw = counts.join(F.broadcast(vocab), "term").withColumn(
-        "_w", (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")
+    Terms are counted inside the row, so neither texts nor terms are exchanged or held by a task.
+    """
+    none = F.array().cast("array<string>")
+    words = df.select(*keep, F.coalesce(word_tokens(text, 2), none).alias("_words"))
+    first = F.slice("_words", F.lit(1), F.greatest(F.size("_words") - 1, F.lit(0)))
+    bigrams = F.zip_with(first, F.slice("_words", F.lit(2), F.size("_words")), lambda a, b: F.concat(a, F.lit(" "), b))
+    arrays = words.select(*keep, F.concat("_words", bigrams).alias("_terms"))
+    # no term is empty
+    counter = CountVectorizerModel.from_vocabulary(terms or [""], inputCol="_terms", outputCol="_counts")
+    counted = counter.transform(arrays).select(*keep, F.unwrap_udt("_counts").alias("_v"))
+    return counted.select(*keep, F.arrays_zip(F.col("_v.indices").alias("i"), F.col("_v.values").alias("tf")).alias("entries"))
+
+
+def _one_per_key(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """``key, entries`` with the counts of rows that share a key (or have none) added up, and those keys with their
+    number of ``copies``, if there are any. Rows with a key of their own are not exchanged for it."""
+    repeated = cut_lineage(rows.groupBy(key).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    if repeated.isEmpty():
+        return rows.select(key, "entries"), None
+    other = repeated.withColumnRenamed(key, "_other")
+    same = F.col(key).eqNullSafe(F.col("_other"))
+    once = rows.join(other, same, "left_anti").select(key, "entries")
+    # one row per key and term of the vocabulary
+    parts = rows.join(other, same, "left_semi").select(key, F.inline_outer("entries")).groupBy(key, "i").agg(F.sum("tf").alias("tf"))
+    entry = F.when(F.col("i").isNotNull(), F.struct("i", "tf"))
+    added = parts.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    return once.unionByName(added), repeated
+
+
+def vocabulary(counts: DataFrame, terms: list[str], documents: int) -> DataFrame:
+    """``i, term, idf`` of the listed terms, from the ``entries`` of each key."""
+    idf = F.log((1.0 + documents) / (1.0 + F.count(F.lit(1)))) + 1.0
+    found = counts.select(F.explode("entries.i").alias("i")).groupBy("i").agg(idf.alias("idf")).collect()
+    rows = [(r["i"], terms[r["i"]], r["idf"]) for r in sorted(found)]
+    return counts.sparkSession.createDataFrame(rows, "i int, term string, idf double")
+
+
+def weigh(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``entries`` with a ``weight`` instead of a count: sublinear tf times idf, unit length per row."""
+    # as long as the vocabulary
+    idf = F.lit(np.array([r["idf"] for r in vocab.orderBy("i").collect()], dtype=float))
+    others = [c for c in counts.columns if c != "entries"]
+    raw = F.transform(
+        "entries", lambda e: F.struct(e["i"].alias("i"), ((1.0 + F.log(e["tf"].cast("double"))) * F.get(idf, e["i"])).alias("w"))
     )
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
-    return raw.withColumn("weight", F.col("_w") / norm).drop("_w")
+    weighted = pin(counts.select(*others, raw.alias("_raw")), "_raw")
+    square = F.aggregate("_raw", F.lit(0.0), lambda total, e: total + e["w"] * e["w"])
+    # once for each row, not for each entry
+    measured = pin(weighted.select(*others, "_raw", F.sqrt(square).alias("_norm")), "_norm")
+    unit = F.transform("_raw", lambda e: F.struct(e["i"].alias("i"), (e["w"] / F.col("_norm")).alias("weight")))
+    return measured.select(*others, unit.alias("entries"))
 
 
-def _fit_terms(df: DataFrame, key: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
-    """Stored term counts within the vocabulary, and the vocabulary. Text is read twice: for the
-    vocabulary and for the counts, which are as long as the result."""
-    rows = term_rows(df, key, text)
-    counts = cut_lineage(term_counts(rows, top_terms(rows, size), key))
-    return counts, vocabulary(counts, df.count())
+def _fit_terms(df: DataFrame, key: str, text: str, size: int, *keep: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """Stored ``key, keep, entries`` of every row; the same per key; the vocabulary; the repeated keys."""
+    terms = _listed(top_terms(term_rows(df, key, text), size), "term")
+    path = scratch_path(df.sparkSession, "terms")
+    term_entries(df, terms, text, key, *keep).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    counts, repeated = _one_per_key(rows, key)
+    return rows, counts, vocabulary(counts, terms, rows.count()), repeated
 
 
 def tfidf(df: DataFrame, key: str, text: str = "text", size: int = VOCABULARY) -> DataFrame:
     """``key, term, weight`` of the ``size`` most frequent words and bigrams."""
-    counts, vocab = _fit_terms(df, key, text, size)
-    return weigh(counts, vocab, key).select(key, "term", "weight")
+    _, counts, vocab, _ = _fit_terms(df, key, text, size)
+    weights = weigh(counts, vocab).select(key, F.inline("entries"))
+    return weights.join(F.broadcast(vocab), "i").select(key, "term", "weight")
 
 
 _VECTOR = StructType([StructField("v", VectorUDT())])
@@ -238,25 +298,18 @@ class TextModel:
         self.vocab, self.size, self.classifier, self.labels = vocab, size, classifier, labels
 
     def transform(self, df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-        """Rows without a ``key`` column are told apart by their content; a null text has no label."""
-        if key not in df.columns:
-            content = F.when(F.col(text).isNotNull(), F.sha2(enriched_text(text, "entities"), 256))
-            return self.transform(df.withColumn(key, content), key, text).drop(key)
-        # a key may repeat with other texts, so rows are told apart by both
-        content = F.sha2(enriched_text(text, "entities"), 256)
-        own = F.when(F.col(text).isNotNull() & F.col(key).isNotNull(), F.sha2(F.concat_ws("\0", F.col(key).cast("string"), content), 256))
-        named = df.withColumn("_row", own)
-        source = named.where("_row IS NOT NULL").select("_row", enriched_text(text, "entities").alias("_text")).dropDuplicates(["_row"])
-        counts = term_counts(term_rows(source, "_row", "_text"), self.vocab, "_row")
-        rows = _vectors(source, weigh(counts, self.vocab, "_row"), self.size, "_row")
+        """Each row has the label of its own text; one without a text, or with a null ``key``, has none."""
+        usable = F.col(text).isNotNull() & (F.col(key).isNotNull() if key in df.columns else F.lit(True))
+        # kept apart from the columns that the classifier adds
+        given = df.select(F.struct(*df.columns).alias("_given"), usable.alias("_usable"), enriched_text(text, "entities").alias("_text"))
+        counts = term_entries(given, _listed(self.vocab, "i"), "_text", "_given", "_usable")
+        rows = weigh(counts, self.vocab).select("_given", "_usable", _sparse(self.size, F.col("entries")).alias("_features"))
         names = F.array(*(F.lit(name) for name in self.labels))
-        scored = self.classifier.transform(rows)
-        predicted = scored.select(
-            "_row",
-            F.get(names, F.col("prediction").cast("int")).alias("ml_label"),
-            F.floor(F.array_max(vector_to_array("probability")) * 100).cast("int").alias("confidence"),
+        label = F.get(names, F.col("prediction").cast("int"))
+        confidence = F.floor(F.array_max(vector_to_array("probability")) * 100).cast("int")
+        return self.classifier.transform(rows).select(
+            "_given.*", F.when(F.col("_usable"), label).alias("ml_label"), F.when(F.col("_usable"), confidence).alias("confidence")
         )
-        return named.join(predicted, "_row", "left").drop("_row")
 
     def save(self, path: str) -> None:
         self.classifier.write().overwrite().save(f"{path}/classifier")
@@ -267,28 +320,23 @@ class TextModel:
         ).json(f"{path}/labels")
 
 
-def _vectors(keys: DataFrame, weights: DataFrame, size: int, key: str) -> DataFrame:
-    packed = weights.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("_e"))
-    keyed = keys.select(key).join(packed, key, "left")
-    empty = F.array().cast("array<struct<i:int,weight:double>>")
-    return keyed.select(key, _sparse(size, F.coalesce("_e", empty)).alias("_features"))
-
-
 def train_text(
     cases: DataFrame, label: str = "expected_label", key: str = "id", text: str = "text", size: int = VOCABULARY
 ) -> TextModel:
     """A model of the rows that have a key, a text and a label."""
     cases = cases.where(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(label).isNotNull())
-    source = cases.select(key, enriched_text(text, "entities").alias("_text"))
-    counts, terms = _fit_terms(source, key, "_text", size)
-    # a vocabulary is short enough to be numbered in one task
-    vocab = cut_lineage(
-        terms.select((F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("i"), "term", "idf")
-    )
-    width, total = max(vocab.count(), 1), cases.count()
-    weighted = _weighted(cases.select(key, label), label)
-    indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(weighted)
-    rows = indexer.transform(weighted).join(_vectors(cases, weigh(counts, vocab, key), width, key), key)
+    source = cases.select(key, label, enriched_text(text, "entities").alias("_text"))
+    stored, counts, vocab, repeated = _fit_terms(source, key, "_text", size, label)
+    width, total = max(vocab.count(), 1), stored.count()
+    if repeated is None:
+        counted = stored
+    else:
+        # every row of a key has the counts of all of them, once for each
+        copies = counts.join(repeated, key, "left").select(key, "entries", F.explode(F.array_repeat(F.lit(0), F.coalesce("copies", F.lit(1)).cast("int"))))
+        counted = stored.select(key, label).join(copies.select(key, "entries"), key)
+    weighted = _weighted(weigh(counted, vocab), label)
+    indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(stored.select(label))
+    rows = indexer.transform(weighted).select("_label", "_weight", _sparse(width, F.col("entries")).alias("_features"))
     classifier = LogisticRegression(
         featuresCol="_features",
         labelCol="_label",

@@ -50,7 +50,7 @@ from clearwake.operators.quality import (
 )
 from clearwake.operators.ranking import bm25, read_term_index, term_index, write_term_index
 from clearwake.plans.inputs import INDEXED, RULED, SEEDED, indexed_docs, moment, seeded_docs
-from clearwake.plans.registry import query, table
+from clearwake.plans.registry import query, table, wide_table
 from clearwake.session import scratch_path
 
 ALIAS = "documents"
@@ -382,7 +382,7 @@ weights AS (
     f"WITH {_TERMS} SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM weights",
 )
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf(table(spark, sf_dir, "documents"), "doc_id").withColumn("weight", F.round("weight", 6))
+    return tfidf(wide_table(spark, sf_dir, "documents", "doc_id"), "doc_id").withColumn("weight", F.round("weight", 6))
 
 
 def clean_cases(spark: SparkSession, sf_dir: str) -> DataFrame:

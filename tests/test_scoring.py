@@ -1,10 +1,13 @@
 """Rules, entities, evaluation and learned models."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from clearwake.functions.risk import featurize, label_to_score, risk_label
 from clearwake.functions.text import RISK_KEYWORDS, enriched_text
+from clearwake.operators import learn
 from clearwake.operators.enrich import enrich_text, score, score_rules
 from clearwake.operators.entities import blank_extractor, gazetteer_extractor, gazetteer_join, model_extractor
 from clearwake.operators.learn import (
@@ -223,3 +226,31 @@ def test_models_leave_null_texts_to_the_rules(spark):
         found = {r["name"]: r["risk_label"] for r in score(rows, "ml", model).collect()}
         assert len(found) == 4
         assert found["none"] == score(rows).where("name = 'none'").first()["risk_label"]
+
+
+@pytest.mark.parametrize("places, first", [(1 << 18, 4), (64, 4), (64, 1), (1, 1)])
+def test_top_terms_of_few_places(spark, monkeypatch, places, first):
+    """The same terms, however many share a place: full places without a frequent term hide none."""
+    monkeypatch.setattr(learn, "TERM_PLACES", places)
+    monkeypatch.setattr(learn, "PLACES_PER_TERM", first)
+    bag = {f"w{i}": 1 + i % 41 for i in range(400)}
+    rows = spark.createDataFrame([(1, t) for t, n in bag.items() for _ in range(n)], "id int, term string")
+    want = sorted(bag, key=lambda t: (-bag[t], t))
+    assert [r["term"] for r in top_terms(rows, 20).collect()] == want[:20]
+    assert [r["term"] for r in top_terms(rows, 1000).collect()] == want
+
+
+def test_terms_are_counted_inside_the_row(spark):
+    """No task holds the terms of more than a row; rows of one key, or of none, count as one text."""
+    texts = [(1, "red big red"), (2, "big"), (2, "red big"), (None, "big"), (None, "blue"), (3, None), (4, "x"), (5, "red")]
+    frame = spark.createDataFrame(texts, "id int, text string")
+    plan = learn.tfidf(frame.where("id <> 2"), "id", size=4)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Aggregate" not in plan
+    found = learn.tfidf(frame, "id", size=4)
+    bags = {1: {"red": 2, "big": 1, "big red": 1, "red big": 1}, 2: {"big": 2, "red": 1, "red big": 1}, None: {"big": 1}, 5: {"red": 1}}
+    want = {}
+    for key, bag in bags.items():
+        raw = {t: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + sum(t in b for b in bags.values()))) + 1) for t, n in bag.items()}
+        norm = math.sqrt(sum(w * w for w in raw.values()))
+        want |= {(key, t): pytest.approx(w / norm) for t, w in raw.items()}
+    assert {(r["id"], r["term"]): r["weight"] for r in found.collect()} == want
