@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from clearwake.operators import entities
+from clearwake.operators import entities, ranking
 from clearwake.operators.access import access_audit
 from clearwake.operators.entities import gazetteer_extractor, gazetteer_join
 from clearwake.operators.learn import fold_report, out_of_fold, train_forest, train_text
@@ -50,6 +50,42 @@ def test_bm25(spark):
     assert "In(term" in (p := pruned._jdf.queryExecution().executedPlan().toString()) or "EqualTo(term" in p
 
 
+def test_bm25_meets_once_per_document(spark, monkeypatch):
+    """No scores of query and document are exchanged and added up; parts of queries, blocks and small shares change nothing."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(f"d{i % 150:03}" if i else None, " ".join(rng.choices(words, k=rng.randint(1, 20)))) for i in range(200)] + [(None, "w1 w2 w1")]
+    asked = spark.createDataFrame([(q, " ".join(rng.choices(words, k=4))) for q in [*range(12), 3]] + [(None, "w1")], "query_id int, text string")
+    index = term_index(spark.createDataFrame(docs, "id string, content string").repartition(3))
+    found = bm25(index, asked, 7)
+    assert "sum(" not in found._jdf.queryExecution().executedPlan().toString().split("mapInArrow")[0].split("MapInArrow")[0]
+    whole = sorted(found.collect(), key=str)
+    bags = Counter()
+    lengths = [(i, len(t.split())) for i, t in docs]
+    for (i, length), (_, t) in zip(lengths, docs):
+        for w in t.split():
+            bags[(i, length, w)] += 1
+    asks, df, mean = Counter(), Counter(w for _, _, w in bags), sum(n for _, n in lengths) / len(docs)
+    for r in asked.where("query_id IS NOT NULL").collect():
+        asks.update((r["query_id"], w) for w in set(r["text"].split()))
+    scores = Counter()
+    for (q, w), m in asks.items():
+        for (i, length, v), tf in bags.items():
+            if v == w:
+                idf = math.log(1 + (len(docs) - m * df[w] + 0.5) / (m * df[w] + 0.5))
+                scores[(q, i)] += m * idf * tf / (tf + 1.2 * (0.25 + 0.75 * length / mean))
+    want = {}
+    for q in range(12):
+        ranked = sorted(((-round(s, 9), i or "") for (p, i), s in scores.items() if p == q))[:7]
+        want |= {(q, n): (i or None, pytest.approx(-s)) for n, (s, i) in enumerate(ranked, 1)}
+    assert {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in whole} == want
+    monkeypatch.setattr(ranking, "ROWS_OF_SHARE", 50)
+    monkeypatch.setattr(ranking, "POSTINGS_AT_ONCE", 16)
+    monkeypatch.setattr(ranking, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(ranking, "SHARE_POSTINGS", 100)
+    assert sorted(bm25(index, asked, 7, most_queries=9).collect(), key=str) == whole
+
+
 def labelled(spark, rows):
     return spark.createDataFrame([(i, t, [], label) for i, t, label in rows], f"id long, text string, {ENTITIES}, expected_label string")
 
