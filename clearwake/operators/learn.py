@@ -51,8 +51,9 @@ def class_weights(cases: DataFrame, label: str) -> dict[str, float]:
     return {r[label]: total / (len(counts) * r["count"]) for r in counts}
 
 
-def _weighted(cases: DataFrame, label: str) -> DataFrame:
-    pairs = [F.lit(x) for pair in class_weights(cases, label).items() for x in pair]
+def _weighted(cases: DataFrame, label: str, among: DataFrame | None = None) -> DataFrame:
+    """Balanced weights of the labels in ``cases``, or ``among`` other rows."""
+    pairs = [F.lit(x) for pair in class_weights(cases if among is None else among, label).items() for x in pair]
     return cases.withColumn("_weight", F.create_map(*pairs)[F.col(label)])
 
 
@@ -334,7 +335,7 @@ def train_text(
         # every row of a key has the counts of all of them, once for each
         copies = counts.join(repeated, key, "left").select(key, "entries", F.explode(F.array_repeat(F.lit(0), F.coalesce("copies", F.lit(1)).cast("int"))))
         counted = stored.select(key, label).join(copies.select(key, "entries"), key)
-    weighted = _weighted(weigh(counted, vocab), label)
+    weighted = _weighted(weigh(counted, vocab), label, stored.select(label))
     indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(stored.select(label))
     rows = indexer.transform(weighted).select("_label", "_weight", _sparse(width, F.col("entries")).alias("_features"))
     classifier = LogisticRegression(

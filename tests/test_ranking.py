@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from clearwake.operators import entities, ranking
+from clearwake.operators import entities, learn, ranking
 from clearwake.operators.access import access_audit
 from clearwake.operators.entities import gazetteer_extractor, gazetteer_join
 from clearwake.operators.learn import fold_report, out_of_fold, train_forest, train_text
@@ -107,6 +107,18 @@ def test_rows_of_one_key_have_their_own_labels(spark):
     assert sorted(got, key=str) == sorted([("HIGH", "HIGH")] * 2 + [("LOW", "LOW")] * 2 + [("LOW", None)], key=str)
 
 
+def test_text_labels_are_given_inside_the_row(spark, monkeypatch):
+    """No text is exchanged for its label; repeated keys don't change the weights of the classes."""
+    seen, weights = [], learn.class_weights
+    monkeypatch.setattr(learn, "class_weights", lambda cases, label: seen.append(cases.count()) or weights(cases, label))
+    rows = [(i // 3 if i < 9 else i, "password secret admin" if i % 2 else "quiet plain words", "HIGH" if i % 2 else "LOW") for i in range(30)]
+    frame = labelled(spark, rows)
+    found = train_text(frame).transform(frame)
+    assert seen == [30]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r["ml_label"] for r in found.where("id > 8").orderBy("id").collect()] == [label for i, _, label in rows if i > 8]
+
+
 def test_out_of_fold(spark):
     rows = [(i, "password secret admin" if i % 2 else "quiet plain words", "HIGH" if i % 2 else "LOW") for i in range(40)]
     rows += [(50, None, "LOW"), (51, "quiet plain words", "HIGH")]
