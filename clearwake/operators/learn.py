@@ -7,11 +7,12 @@ from functools import reduce
 from operator import and_
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
-from pyspark.ml.feature import CountVectorizerModel, IndexToString, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.common import _py2java
+from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.linalg import DenseMatrix, DenseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -19,8 +20,10 @@ from pyspark.sql.types import StructField, StructType
 from clearwake.functions.risk import FEATURES, featurize
 from clearwake.functions.staging import pin
 from clearwake.functions.text import enriched_text, word_tokens
+from clearwake.operators import softmax
 from clearwake.operators.quality import stratified_folds
-from clearwake.session import cut_lineage, scratch_path
+from clearwake.operators.term_arrays import TermCounter, place_counts, term_counts, unit_weights
+from clearwake.session import cut_lineage, scratch_path, spread
 
 # Model settings.
 FOREST_TREES = 100
@@ -33,6 +36,8 @@ PLACES_PER_TERM = 4
 LR_ITERATIONS = 1_000
 LR_C = 1.0
 TEXT_MAX_FOLDS = 5
+#: Terms of all rows up to which Spark's solver, with more but cheaper passes, fits the text model.
+FEW_ENTRIES = 1 << 20
 
 MAX_CLASSES = 1_000
 
@@ -183,13 +188,38 @@ def top_terms(rows: DataFrame, size: int = VOCABULARY) -> DataFrame:
     left, they are counted too.
     """
     place = F.pmod(F.xxhash64("term"), F.lit(TERM_PLACES)).alias("_place")
-    places = cut_lineage(rows.groupBy(place).agg(F.count(F.lit(1)).alias("_n")))
 
-    def best(chosen: DataFrame) -> DataFrame:
+    def counted(chosen: DataFrame) -> DataFrame:
         # at most TERM_PLACES numbers
         possible = rows.select("term", place).join(F.broadcast(chosen.select("_place")), "_place", "left_semi")
-        counted = possible.groupBy("term").agg(F.count(F.lit(1)).alias("_cf"))
-        return cut_lineage(counted.orderBy(F.desc("_cf"), "term").limit(size))
+        return possible.groupBy("term").agg(F.count(F.lit(1)).alias("_cf"))
+
+    return _best_terms(rows.groupBy(place).agg(F.count(F.lit(1)).alias("_n")), counted, size)
+
+
+def top_text_terms(df: DataFrame, text: str, size: int = VOCABULARY) -> DataFrame:
+    """``top_terms`` of the words and bigrams of a text, counted inside the task without a row for each."""
+    words = df.select(_words(text).alias("words"))
+
+    def counted(chosen: DataFrame) -> DataFrame:
+        held = np.zeros(TERM_PLACES, bool)
+        held[[r["_place"] for r in chosen.select("_place").collect()]] = True
+        return words.mapInArrow(term_counts(held), "term string, _n bigint").groupBy("term").agg(F.sum("_n").alias("_cf"))
+
+    places = words.mapInArrow(place_counts(TERM_PLACES), "_place bigint, _n bigint")
+    return _best_terms(places.groupBy("_place").agg(F.sum("_n").alias("_n")), counted, size)
+
+
+def _words(text: str) -> Column:
+    return F.coalesce(word_tokens(text, 2), F.array().cast("array<string>"))
+
+
+def _best_terms(places: DataFrame, counted: Callable[[DataFrame], DataFrame], size: int) -> DataFrame:
+    """From ``_place, _n``, and ``term, _cf`` of the terms of some places."""
+    places = cut_lineage(places)
+
+    def best(chosen: DataFrame) -> DataFrame:
+        return cut_lineage(counted(chosen).orderBy(F.desc("_cf"), "term").limit(size))
 
     fullest = cut_lineage(places.orderBy(F.desc("_n"), "_place").limit(PLACES_PER_TERM * size))
     found = best(fullest)
@@ -210,15 +240,9 @@ def term_entries(df: DataFrame, terms: list[str], text: str, *keep: str) -> Data
 
     Terms are counted inside the row, so neither texts nor terms are exchanged or held by a task.
     """
-    none = F.array().cast("array<string>")
-    words = df.select(*keep, F.coalesce(word_tokens(text, 2), none).alias("_words"))
-    first = F.slice("_words", F.lit(1), F.greatest(F.size("_words") - 1, F.lit(0)))
-    bigrams = F.zip_with(first, F.slice("_words", F.lit(2), F.size("_words")), lambda a, b: F.concat(a, F.lit(" "), b))
-    arrays = words.select(*keep, F.concat("_words", bigrams).alias("_terms"))
-    # no term is empty
-    counter = CountVectorizerModel.from_vocabulary(terms or [""], inputCol="_terms", outputCol="_counts")
-    counted = counter.transform(arrays).select(*keep, F.unwrap_udt("_counts").alias("_v"))
-    return counted.select(*keep, F.arrays_zip(F.col("_v.indices").alias("i"), F.col("_v.values").alias("tf")).alias("entries"))
+    counter = TermCounter(terms)
+    count = F.arrow_udf(counter.lists, "array<struct<i:int,tf:double>>")
+    return df.select(*keep, count(_words(text)).alias("entries"))
 
 
 def _one_per_key(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
@@ -263,7 +287,7 @@ def weigh(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def _fit_terms(df: DataFrame, key: str, text: str, size: int, *keep: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
     """Stored ``key, keep, entries`` of every row; the same per key; the vocabulary; the repeated keys."""
-    terms = _listed(top_terms(term_rows(df, key, text), size), "term")
+    terms = _listed(top_text_terms(df, text, size), "term")
     path = scratch_path(df.sparkSession, "terms")
     term_entries(df, terms, text, key, *keep).write.parquet(path)
     rows = df.sparkSession.read.parquet(path)
@@ -301,16 +325,29 @@ class TextModel:
     def transform(self, df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
         """Each row has the label of its own text; one without a text, or with a null ``key``, has none."""
         usable = F.col(text).isNotNull() & (F.col(key).isNotNull() if key in df.columns else F.lit(True))
-        # kept apart from the columns that the classifier adds
-        given = df.select(F.struct(*df.columns).alias("_given"), usable.alias("_usable"), enriched_text(text, "entities").alias("_text"))
-        counts = term_entries(given, _listed(self.vocab, "i"), "_text", "_given", "_usable")
-        rows = weigh(counts, self.vocab).select("_given", "_usable", _sparse(self.size, F.col("entries")).alias("_features"))
+        found = self._scorer()(_words(enriched_text(text, "entities")))
         names = F.array(*(F.lit(name) for name in self.labels))
-        label = F.get(names, F.col("prediction").cast("int"))
-        confidence = F.floor(F.array_max(vector_to_array("probability")) * 100).cast("int")
-        return self.classifier.transform(rows).select(
-            "_given.*", F.when(F.col("_usable"), label).alias("ml_label"), F.when(F.col("_usable"), confidence).alias("confidence")
-        )
+        label = F.when(usable, F.get(names, found["label"]))
+        confidence = F.when(usable, F.floor(found["probability"] * 100).cast("int"))
+        return df.select(*df.columns, label.alias("ml_label"), confidence.alias("confidence"))
+
+    def _scorer(self) -> Callable[[Column], Column]:
+        """Place of the most probable label, and its probability, from the words of a text."""
+        counter = TermCounter(_listed(self.vocab, "i"))
+        # as long as the vocabulary
+        idf = np.array([r["idf"] for r in self.vocab.orderBy("i").collect()], dtype=float)
+        coefficients, intercepts = self.classifier.coefficientMatrix.toArray(), self.classifier.interceptVector.toArray()
+
+        def score(words: pa.Array) -> pa.Array:
+            lengths, terms, counts = counter.count(words)
+            row, weights, _ = unit_weights(lengths, terms, counts, idf)
+            margins = np.array([np.bincount(row, weights * c.take(terms), minlength=len(lengths)) + i for c, i in zip(coefficients, intercepts)])
+            top = margins.max(axis=0)
+            # a model of one class has no other margin than infinity
+            share = np.exp(np.where(margins == top, 0.0, margins - top)).sum(axis=0)
+            return pa.StructArray.from_arrays([pa.array(margins.argmax(axis=0), pa.int32()), pa.array(1.0 / share)], ["label", "probability"])
+
+        return F.arrow_udf(score, "struct<label:int,probability:double>")
 
     def save(self, path: str) -> None:
         self.classifier.write().overwrite().save(f"{path}/classifier")
@@ -335,19 +372,43 @@ def train_text(
         # every row of a key has the counts of all of them, once for each
         copies = counts.join(repeated, key, "left").select(key, "entries", F.explode(F.array_repeat(F.lit(0), F.coalesce("copies", F.lit(1)).cast("int"))))
         counted = stored.select(key, label).join(copies.select(key, "entries"), key)
-    weighted = _weighted(weigh(counted, vocab), label, stored.select(label))
     indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(stored.select(label))
-    rows = indexer.transform(weighted).select("_label", "_weight", _sparse(width, F.col("entries")).alias("_features"))
-    classifier = LogisticRegression(
+    rows = indexer.transform(_weighted(counted, label, stored.select(label)))
+    regularization, classes = 1.0 / (LR_C * total), len(indexer.labels)
+    entries, most = rows.agg(F.sum(F.size("entries")), F.max(F.array_max("entries.tf"))).first()
+    # a single class has nothing to fit
+    if (entries or 0) <= FEW_ENTRIES or classes < 2:
+        classifier = _fit_by_spark(weigh(rows, vocab), width, regularization)
+    else:
+        classifier = _fit_in_passes(spread(rows, key), vocab, int(most), classes, regularization)
+    return TextModel(vocab, width, classifier, indexer.labels)
+
+
+def _fit_by_spark(weighted: DataFrame, width: int, regularization: float) -> LogisticRegressionModel:
+    return LogisticRegression(
         featuresCol="_features",
         labelCol="_label",
         weightCol="_weight",
         family="multinomial",
         maxIter=LR_ITERATIONS,
-        regParam=1.0 / (LR_C * total),
+        regParam=regularization,
         standardization=False,
-    ).fit(rows)
-    return TextModel(vocab, width, classifier, indexer.labels)
+    ).fit(weighted.select("_label", "_weight", _sparse(width, F.col("entries")).alias("_features")))
+
+
+def _fit_in_passes(rows: DataFrame, vocab: DataFrame, most: int, classes: int, regularization: float) -> LogisticRegressionModel:
+    """The minimum of the same objective, in a number of passes that doesn't grow with the rows."""
+    spark = rows.sparkSession
+    idf = np.array([r["idf"] for r in vocab.orderBy("i").collect()], dtype=float)
+    path = scratch_path(spark, "fit")
+    parts = rows.select(F.col("_label").alias("label"), F.col("_weight").alias("weight"), "entries.i", "entries.tf")
+    parts.mapInArrow(softmax.packed(idf, most), softmax.STORED).write.parquet(path)
+    coefficients, intercepts = softmax.fit(spark.read.parquet(path), idf, most, classes, regularization, LR_ITERATIONS)
+    context = spark.sparkContext
+    matrix = _py2java(context, DenseMatrix(classes, len(idf), coefficients.ravel(), isTransposed=True))
+    made = spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel
+    name = LogisticRegression().uid
+    return LogisticRegressionModel(made(name, matrix, _py2java(context, DenseVector(intercepts)), classes, True))
 
 
 def load_text_model(spark: SparkSession, path: str) -> TextModel | None:
